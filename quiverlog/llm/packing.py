@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiverlog.llm.common import partitions_for, stored
-from quiverlog.llm.encoding import ChunkEncoder
+from quiverlog.llm.encoding import encoder_of
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -31,7 +31,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CA
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(path, keep_spaces=False)
+        encoder = encoder_of(path, keep_spaces=False)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids, texts, rows = batch.column(0).to_pylist(), batch.column(1), []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quiverlog.llm import compression_rules as rules
-from quiverlog.llm import decontaminate, packing, sharding, token_counts, token_output, warc
+from quiverlog.llm import decontaminate, packing, probminhash, quality_net, sharding, token_counts, token_output, warc
 from quiverlog.llm.common import documents_of
 from quiverlog.llm.oracles import ORACLES
 
@@ -30,15 +30,23 @@ def op6_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(documents_of(spark, sf_dir))
 
 
+def op7_byte_convolution_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_net.quality_scores(documents_of(spark, sf_dir), documents_of(spark, sf_dir, "labels"))
+
+
 def op8_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.compression_rules(documents_of(spark, sf_dir))
 
 
+def op9_probability_minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.near_duplicates(documents_of(spark, sf_dir)).select("doc_id", "class_id")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents_of(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_content_addressed_warc, op2_ngram_decontamination, op4_arrow_token_files, op5_linear_piece_counts, op6_prefix_sum_shards, op8_compression_bands, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_content_addressed_warc, op2_ngram_decontamination, op4_arrow_token_files, op5_linear_piece_counts, op6_prefix_sum_shards, op7_byte_convolution_quality, op8_compression_bands, op9_probability_minhash_classes, op10_best_fit_packing)}
 
 
 def queries() -> dict:

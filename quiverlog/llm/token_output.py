@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quiverlog.llm.common import fresh_path, partitions_for
-from quiverlog.llm.encoding import ChunkEncoder, load_tokenizer
+from quiverlog.llm.encoding import encoder_of, load_tokenizer
 
 SEQUENCE = 1024
 SEQUENCES_PER_BATCH = 256
@@ -120,7 +120,7 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str | None = None, end_id
     dealt = slim.repartitionByRange(partitions_for(docs, docs.count(), rows_per_file), *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(path, keep_spaces=True)
+        encoder = encoder_of(path, keep_spaces=True)
         small = load_tokenizer(path).get_vocab_size() <= 1 << 16
         number = TaskContext.get().partitionId()
         end = np.array([end_id], "<u4")
