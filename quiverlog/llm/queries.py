@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quiverlog.llm import compression_rules as rules
-from quiverlog.llm import decontaminate, packing, probminhash, quality_net, sharding, token_counts, token_output, warc
+from quiverlog.llm import decontaminate, packing, probminhash, quality_net, sharding, suffix_dedup, token_counts, token_output, warc
 from quiverlog.llm.common import documents_of
 from quiverlog.llm.oracles import ORACLES
 
@@ -18,6 +18,10 @@ def op2_ngram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(documents_of(spark, sf_dir), documents_of(spark, sf_dir, "benchmark")).drop("key_a", "key_b")
 
 
+def op3_cover_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes(documents_of(spark, sf_dir))
+
+
 def op4_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_round_trip(documents_of(spark, sf_dir))
 
@@ -46,7 +50,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents_of(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_content_addressed_warc, op2_ngram_decontamination, op4_arrow_token_files, op5_linear_piece_counts, op6_prefix_sum_shards, op7_byte_convolution_quality, op8_compression_bands, op9_probability_minhash_classes, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_content_addressed_warc, op2_ngram_decontamination, op3_cover_suffix_repeats, op4_arrow_token_files, op5_linear_piece_counts, op6_prefix_sum_shards, op7_byte_convolution_quality, op8_compression_bands, op9_probability_minhash_classes, op10_best_fit_packing)}
 
 
 def queries() -> dict:
