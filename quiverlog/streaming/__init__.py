@@ -1 +1 @@
-
+"""Incremental maintenance: row normalizers and their change streams."""
