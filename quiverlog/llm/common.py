@@ -46,6 +46,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Rows of one Arrow batch: Spark's 10,000 whole texts at once are too many for a worker's memory; a value set by the user stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "512")
+
+
 def own_name(df: DataFrame, name: str) -> str:
     """A column name that no column of ``df`` has, upper or lower case."""
     taken = {c.lower() for c in df.columns}

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiverlog.llm.common import own_name, stored
+from quiverlog.llm.common import modest_batches, own_name, stored
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -167,6 +167,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sketch_documents(docs: DataFrame) -> DataFrame:
     """doc_id, text keys and signature of each row of ``docs`` (doc_id, text)."""
+    modest_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys(F.col("text")), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(_sketches, "doc_id long, key_a long, key_b long, sketch array<int>")
 
