@@ -54,16 +54,17 @@ def find_hits(docs: DataFrame, grams: DataFrame) -> DataFrame:
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     tokens = docs.select(F.col("doc_id"), F.xxhash64(text, F.lit(1)).alias("key_a"), F.xxhash64(text, F.lit(2)).alias("key_b"), words_of(F.col("text")).alias("words"))
-    low = F.transform("words", lambda w: F.lower(w))
-    tokens = tokens.select("doc_id", "key_a", "key_b", "words", low.alias("low"), F.size("words").alias("n_words"))
 
-    def keys(size: int) -> F.Column:
-        windows = F.transform(F.sequence(F.lit(1), F.col("n_words") - size + 1), lambda i: F.xxhash64(F.slice("low", i, size), F.lit(size)))
-        return F.when(F.col("n_words") >= size, windows).otherwise(F.array().cast("array<bigint>"))
+    def keys(low: F.Column, size: int) -> F.Column:
+        windows = F.transform(F.sequence(F.lit(1), F.size(low) - size + 1), lambda i: F.xxhash64(F.slice(low, i, size), F.lit(size)))
+        return F.when(F.size(low) >= size, windows).otherwise(F.array().cast("array<bigint>"))
 
     marker = 0x5BD1E995
-    hashed = tokens.select("doc_id", "key_a", "key_b", "words", "n_words", F.concat(F.array(F.lit(marker).cast("bigint")), *(keys(s) for s in lengths)).alias("hashes"))
-    each = hashed.select("doc_id", "key_a", "key_b", "words", "n_words", F.posexplode("hashes").alias("place", "key"))
+    # the lowered words are bound to a lambda variable: inlined into the inner lambda they would be made anew for every window
+    bound = F.array(F.transform("words", lambda w: F.lower(w)))
+    hashes = F.flatten(F.transform(bound, lambda low: F.concat(F.array(F.lit(marker).cast("bigint")), *(keys(low, s) for s in lengths))))
+    hashed = tokens.select("doc_id", "key_a", "key_b", "words", F.size("words").alias("n_words"), hashes.alias("hashes"))
+    each = hashed.select("doc_id", "key_a", "key_b", "words", "n_words", F.posexplode_outer("hashes").alias("place", "key"))  # never empty; a plain posexplode would make the array twice, once for a filter
     # place 0 is the marker; then come the windows of the first size, of the second, and so on
     at = F.col("place")
     start = F.lit(0)
