@@ -10,6 +10,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from quiverlog.llm.common import modest_batches
+
 LEVEL = 3
 CHUNK = 4096
 WINDOW = 8
@@ -122,4 +124,5 @@ def compression_rules(docs: DataFrame) -> DataFrame:
     A null or empty text has no words and fails the base rule. Each row is judged by itself: repeated rows and ids give
     repeated results, an empty table gives none, other columns are ignored. No shuffle, one pass.
     """
+    modest_batches(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").mapInArrow(_score, SCHEMA)

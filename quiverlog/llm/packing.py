@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiverlog.llm.common import partitions_for, stored
+from quiverlog.llm.common import modest_batches, partitions_for, stored
 from quiverlog.llm.encoding import encoder_of
 
 CAPACITY = 2048
@@ -29,6 +29,7 @@ def default_tokenizer() -> str:
 def cut_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """Token pieces of ``docs`` (doc_id, text): the ids with the end id; only what is longer than ``capacity`` is cut."""
     path = tokenizer or default_tokenizer()
+    modest_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path, keep_spaces=False)

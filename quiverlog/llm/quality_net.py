@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiverlog.llm.common import own_name
+from quiverlog.llm.common import modest_batches, own_name
 
 DIMS = 6
 FILTERS = 32
@@ -218,6 +218,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, net: Net | None = None) -
     text of at most ``SAMPLE_BYTES``; without any, every score is 0.5. Every byte of every text is scored. Null and empty texts
     get the score of no bytes; repeated rows get equal scores; a null id is in no fold; other columns are ignored.
     """
+    modest_batches(docs.sparkSession)
     model = net or fit(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,6 +232,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, net: Net | None = None) -
 
 def keep_good(docs: DataFrame, labels: DataFrame, net: Net | None = None) -> DataFrame:
     """The rows of ``docs`` that the classifier predicts to be good, with all their columns as they were."""
+    modest_batches(docs.sparkSession)
     model = net or fit(docs, labels)
     name = own_name(docs, "_text")
     place = len(docs.columns)

@@ -9,6 +9,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quiverlog.llm.common import modest_batches
+
 #: Words whose counts a worker remembers; forgotten all at once when full, so memory stays bounded.
 CACHE_WORDS = 300_000
 SCHEMA = "doc_id long, n_bytes long, n_words long, n_pieces long"
@@ -103,6 +105,7 @@ def count_pieces(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     repeated rows give repeated results, an empty table gives none, other columns are ignored. No shuffle, one pass.
     """
     path = vocabulary or default_vocabulary()
+    modest_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter_of(path).count

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quiverlog.llm.common import fresh_path, partitions_for
+from quiverlog.llm.common import fresh_path, modest_batches, partitions_for
 from quiverlog.llm.encoding import encoder_of, load_tokenizer
 
 SEQUENCE = 1024
@@ -114,6 +114,7 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str | None = None, end_id
     ascending doc_id order, null ids first, rows with one id by a hash of their text. A retried task replaces its file whole.
     """
     path = tokenizer or default_tokenizer()
+    modest_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiverlog.llm.common import fresh_path
+from quiverlog.llm.common import fresh_path, modest_batches
 
 #: A fixed date keeps archives of the same input equal, byte for byte.
 DATE = "2024-01-01T00:00:00Z"
@@ -55,6 +55,7 @@ def write_archive(pages: DataFrame, path: str) -> None:
     responses, and so is a row without an id where no row of its payload has one. Payloads are pre-aggregated by their
     SHA-256 in each task before they are shuffled, so a group of copies sends one payload from each task.
     """
+    modest_batches(pages.sparkSession)
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     keyed = base.withColumn("digest", F.unhex(F.sha2("payload", 256)))
