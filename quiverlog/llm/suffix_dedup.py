@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiverlog.llm.common import own_name, partitions_for, stored
+from quiverlog.llm.common import modest_batches, own_name, partitions_for, stored
 from quiverlog.llm.probminhash import _BASE, _VALUES, _power_tables, mix, text_keys
 
 LENGTH = 200
@@ -22,8 +22,8 @@ REACH = LENGTH - GRAM + 1
 HOT = 4096
 STEP = 8
 #: Suffixes are sorted in blocks of some BLOCK bytes of context, an 8-byte leading word at a time.
-BLOCK = 4 << 20
-SLAB = 1 << 20
+BLOCK = 2 << 20
+SLAB = 1 << 18
 #: A difference cover of 64. Any two residues meet it after one common shift below 64.
 PERIOD = 64
 COVER = (0, 1, 2, 5, 14, 16, 34, 42, 59)
@@ -295,7 +295,7 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             a1, a2 = batch.column(0)[start + i].as_py(), batch.column(1)[start + i].as_py()
             out += [(None, key, None, None, None, a1, a2, at) for key, at in places.items()]
         yield _rows(out)
-        if size > 32 << 20:
+        if size > 8 << 20:
             yield flush()
             size = 0
     yield flush()
@@ -353,6 +353,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
        shuffle, and anchors above HOT meet by finer keys, so no bucket grows with the corpus.
     4. The runs found go back to the places of each context.
     """
+    modest_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(*text_keys(F.col("text")), text.alias("text")).filter(F.octet_length("text") >= LENGTH)
     counts = keyed.select("text").mapInArrow(_count_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
