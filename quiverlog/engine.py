@@ -56,6 +56,8 @@ class Engine:
             self.store.insert(compile_assertions(program, self.store))
         if program.query is None:
             return None
+        if principal:
+            self.store.compact()
         edges = self.store.live()
         view = policy_view(edges, principal) if principal else View(edges)
         return self._answer(program, view, columns)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiverlog.errors import ProgramLimitError
@@ -173,15 +174,57 @@ def _small(keys: list[Key], rules: list[Rule], view: View) -> dict[Key, DataFram
         facts = SmallEvaluator(rules, set(keys), relations).run()
     except (TooLarge, RecursionError):
         return None
-    spark = view.edges.sparkSession
-    import pandas as pd
+    return {key: _as_facts(view.edges.sparkSession, facts[key], key[1]) for key in keys}
+
+
+def _as_facts(spark: SparkSession, rows, width: int) -> DataFrame:
+    names = [f"_{i}" for i in range(width)]
+    schema = ", ".join(f"{n} string" for n in names)
+    return spark.createDataFrame(pd.DataFrame(list(rows), columns=names), schema) if rows else spark.createDataFrame([], schema)
+
+
+def _reach(after: dict[str, list[str]], starts) -> set[str]:
+    seen = set(starts)
+    work = list(seen)
+    while work:
+        for y in after.get(work.pop(), ()):
+            if y not in seen:
+                seen.add(y)
+                work.append(y)
+    return seen
+
 
-    out = {}
-    for key in keys:
-        schema = ", ".join(f"_{i} string" for i in range(key[1]))
-        rows = list(facts[key])
-        out[key] = spark.createDataFrame(pd.DataFrame(rows, columns=[f"_{i}" for i in range(key[1])]), schema) if rows else spark.createDataFrame([], schema)
-    return out
+def _adjacent(pairs, turned: bool = False) -> dict[str, list[str]]:
+    after: dict[str, list[str]] = {}
+    for a, b in pairs:
+        if turned:
+            a, b = b, a
+        after.setdefault(a, []).append(b)
+    return after
+
+
+def _small_closure(shape: Closure, view: View, bound: tuple[str, bool] | None) -> DataFrame | None:
+    """A closure by breadth-first search from each start, or from the bound end alone; None where it is too large for memory."""
+    base = [tuple(r) for r in plain_facts(list(shape.base), view).limit(SMALL_INPUT + 1).collect()]
+    alike = not shape.step or base_is_step(shape)
+    step = base if alike else [tuple(r) for r in _steps(shape, view).limit(SMALL_INPUT + 1).collect()]
+    if max(len(base), len(step)) > SMALL_INPUT:
+        return None
+    forward = bound is None or bound[1]
+    first, then = _adjacent(base, not forward), _adjacent(step, not forward)
+    base_first = alike or forward == shape.right
+    # from a start: its base edges, then steps; or steps, then a base edge
+    starts = [bound[0]] if bound else sorted(set(first) if base_first else set(first) | set(then))
+    facts: set[tuple[str, str]] = set()
+    for start in starts:
+        if base_first:
+            ends = _reach(then, first.get(start, ()))
+        else:
+            ends = {y for x in _reach(then, [start]) for y in first.get(x, ())}
+        facts |= {(start, y) if forward else (y, start) for y in ends}
+        if len(facts) > SMALL_RESULT:
+            return None
+    return _as_facts(view.edges.sparkSession, facts, 2)
 
 
 # --- distributed ---
@@ -283,15 +326,16 @@ def derive(rules: tuple[Rule, ...], query: tuple[Atom, ...], view: View, small:
         if not recursive:
             facts[keys[0]] = plain_facts(own, now)
             continue
+        shape = closure_shape(keys, own)
+        if shape:
+            bound = _bound_end(shape, groups, query)
+            held = _small_closure(shape, now, bound) if small else None
+            if held is None:
+                held = reachable(shape, now, *bound) if bound else closure_facts(shape, now)
+            facts[shape.key] = held
+            continue
         found = _small(keys, own, now) if small else None
-        if found is None:
-            shape = closure_shape(keys, own)
-            if shape:
-                bound = _bound_end(shape, groups, query)
-                found = {shape.key: reachable(shape, now, *bound) if bound else closure_facts(shape, now)}
-            else:
-                found = semi_naive(keys, own, now)
-        facts |= found
+        facts |= semi_naive(keys, own, now) if found is None else found
     return facts
 
 

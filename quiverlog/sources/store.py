@@ -30,7 +30,7 @@ POLICY_COMPOUNDS = {
 }
 
 #: Layers of small changes over a snapshot before it is rewritten.
-MOST_LAYERS = 12
+MOST_LAYERS = 4
 
 
 def predicate_edges(name: str, subject_cardinality: str, subject_type: str, object_cardinality: str, object_type: str) -> list[tuple[str, str, str]]:
@@ -95,6 +95,11 @@ class GraphStore:
             records, self.layers = cut(records, "records"), 0
         self._records, self._live = records, None
 
+    def compact(self) -> None:
+        """Rewrite the snapshot if changes lie over it; calls that read the edges many times do this once."""
+        if self.layers:
+            self._records, self.layers, self._live = cut(self._records, "records"), 0, None
+
     def _apply(self, batch: DataFrame, deleted: bool, small: bool) -> None:
         self.tx += 1
         keys = F.broadcast(batch) if small else batch
