@@ -19,7 +19,7 @@ LENGTH = 200
 GRAM = 64
 REACH = LENGTH - GRAM + 1
 #: Anchors that occur more often split their strings into steps of STEP starts, so that no group holds more contexts than that.
-HOT = 4096
+HOT = 512
 STEP = 8
 #: Suffixes are sorted in blocks of some BLOCK bytes of context, an 8-byte leading word at a time.
 BLOCK = 2 << 20
@@ -238,18 +238,15 @@ def _small_groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tu
                 held, size, first = [], 0, i + 1
 
 
-def _count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, _, texts in _small_groups(batches, 0):
-        found, n = np.unique(anchors(texts)[4], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["anchor", "n"])
-
-
 def _list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each anchor of each text once, with its number of places."""
     for batch, first, texts in _small_groups(batches, 1):
         number, _, _, _, hashes = anchors(texts)
+        order = np.lexsort((hashes, number))
+        own, found = number[order], hashes[order]
+        new = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (found[1:] != found[:-1])]) if len(own) else np.empty(0, np.int64)
         keys = batch.column(0).slice(first, len(texts)).to_numpy()
-        pairs = np.unique(np.stack([hashes.view(np.int64), keys[number]], 1), axis=0) if len(number) else np.empty((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["anchor", "key_a"])
+        yield pa.RecordBatch.from_arrays([pa.array(found[new].view(np.int64)), pa.array(keys[own[new]]), pa.array(np.diff(np.r_[new, len(own)]).astype(np.int32))], names=["anchor", "key_a", "places"])
 
 
 _CONTEXTS = "bucket long, context_key binary, context binary, head int, n long, key_a long, key_b long, places array<int>"
@@ -356,9 +353,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     modest_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(*text_keys(F.col("text")), text.alias("text")).filter(F.octet_length("text") >= LENGTH)
-    counts = keyed.select("text").mapInArrow(_count_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    twice = stored(counts.filter("n > 1"), "anchors")
-    listed = keyed.select("key_a", "text").mapInArrow(_list_anchors, "anchor long, key_a long")
+    listed = stored(keyed.select("key_a", "text").mapInArrow(_list_anchors, "anchor long, key_a long, places int"), "listed")
+    twice = stored(listed.groupBy("anchor").agg(F.sum("places").alias("n")).filter("n > 1"), "anchors")
     wanted = listed.join(twice, "anchor").groupBy("key_a").agg(F.collect_set(F.when(F.col("n") <= HOT, F.col("anchor"))).alias("cold"), F.collect_set(F.when(F.col("n") > HOT, F.col("anchor"))).alias("hot"))
     wanted = stored(wanted, "wanted")
     packed = keyed.mapInArrow(_pack, "key_a long, key_b long, packed binary")
