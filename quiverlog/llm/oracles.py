@@ -43,8 +43,8 @@ WITH t AS (SELECT list(c ORDER BY n) AS t FROM (
   SELECT n, list_reduce([n::BIGINT, 0, 1, 2, 3, 4, 5, 6, 7], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) r(n))),
 d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
 x AS (SELECT doc_id, hex(b) AS h, octet_length(b) AS n FROM d),
-s AS (SELECT doc_id, n + 8 AS size, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(n), lambda i:
-    ((strpos('0123456789ABCDEF', substr(h, (2*i+1)::INT, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(h, (2*i+2)::INT, 1)) - 1)::BIGINT)),
+s AS (SELECT doc_id, n + 8 AS size, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(h, '..'), lambda x:
+    ((strpos('0123456789ABCDEF', substr(x, 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(x, 2, 1)) - 1)::BIGINT)),
     lambda c, v: xor(c >> 8, t.t[(xor(c, v) & 255) + 1]))) AS text_crc32 FROM x, t),
 p AS (SELECT *, sum(size) OVER (ORDER BY doc_id) - size AS start, sum(size) OVER () AS total FROM s),
 q AS (SELECT *, ((2 * start + size) * 24 // (2 * total))::INT AS shard FROM p)
