@@ -21,6 +21,8 @@ SMALL_GROUP = 12
 #: Pairs whose signatures agree in fewer components than 0.8 less four standard deviations are not verified.
 LEAST_AGREEING = int(SIZE * (THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / SIZE) ** 0.5))
 SEGMENT = 4 << 20
+#: Shingles whose signatures are made together, and arrivals drawn at once: some 40 MB of arrays.
+TOGETHER, ARRIVALS = 100_000, 400_000
 
 _U = np.uint64
 _rng = np.random.default_rng(5)
@@ -117,7 +119,7 @@ def signatures(docs: list[tuple[np.ndarray, np.ndarray]], size: int = SIZE) -> n
         clock = time[:, -1]
         live = clock < first.reshape(n, size).max(1)[owner]
         owner, hashes, rate, name, clock = owner[live], hashes[live], rate[live], name[live], clock[live]
-        drawn, many = drawn + many, max(1, min(2 * drawn, 256, 4_000_000 // max(1, len(hashes))))
+        drawn, many = drawn + many, max(1, min(2 * drawn, 256, ARRIVALS // max(1, len(hashes))))
     return winner.reshape(n, size)
 
 
@@ -157,7 +159,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             held.append(shingles(texts[i].as_py()))
             size += len(held[-1][0])
-            if size > 200_000 or i == batch.num_rows - 1:
+            if size > TOGETHER or i == batch.num_rows - 1:
                 rows.append(signatures(held))
                 held, size = [], 0
         found = np.concatenate(rows) if rows else np.zeros((0, SIZE), np.uint32)
