@@ -263,8 +263,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # one text of each node that is in a pair
     wanted = close.select(F.col("a1").alias("key_a"), F.col("a2").alias("key_b")).unionByName(close.select(F.col("b1").alias("key_a"), F.col("b2").alias("key_b"))).distinct()
     keyed = docs.select(*text_keys(F.col("text")), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # a merge join at every size: the pairs grow with the corpus, and a plan that broadcast them while they are few would not last
-    needed = keyed.join(wanted.hint("merge"), ["key_a", "key_b"], "left_semi").groupBy("key_a", "key_b").agg(F.first("text").alias("text"))
+    # equal texts become one in each task, before they are shuffled; a merge join at every size: the pairs grow with the corpus,
+    # and a plan that broadcast them while they are few would not last
+    needed = keyed.groupBy("key_a", "key_b").agg(F.first("text").alias("text")).join(wanted.hint("merge"), ["key_a", "key_b"], "left_semi")
     needed = stored(needed, "texts")
     left = needed.select(F.col("key_a").alias("a1"), F.col("key_b").alias("a2"), F.col("text").alias("text_a"))
     right = needed.select(F.col("key_a").alias("b1"), F.col("key_b").alias("b2"), F.col("text").alias("text_b"))
