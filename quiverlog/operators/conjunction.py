@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quiverlog.functions.identity import compound_prefix
 from quiverlog.plans.terms import Atom, CompoundAtom, EdgeAtom, Lit, PredicateAtom, Term, Var, variables
+from quiverlog.sources.shared import local_table
 
 
 @dataclass
@@ -72,7 +73,7 @@ def atom_frame(atom: Atom, names: dict[Var, str], view: View) -> DataFrame:
         return _compound(atom, names, view)
     known = view.facts.get(atom.key)
     if known is None:
-        known = view.edges.sparkSession.createDataFrame([], ", ".join(f"_{i} string" for i in range(len(atom.terms))))
+        known = local_table(view.edges.sparkSession, [], [f"_{i}" for i in range(len(atom.terms))])
     return _bind(known, [(f"_{i}", t) for i, t in enumerate(atom.terms)], names)
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +11,7 @@ from quiverlog.errors import ProgramLimitError
 from quiverlog.operators.conjunction import View, atom_frame, conjunction, project
 from quiverlog.plans.rules import Closure, Key, base_is_step, called, closure_shape, strata
 from quiverlog.plans.terms import Atom, EdgeAtom, Lit, PredicateAtom, Rule, Var, variables
-from quiverlog.sources.shared import cut
+from quiverlog.sources.shared import cut, local_table
 
 #: Fixed limit of the language.
 MOST_ROUNDS = 10_000
@@ -178,9 +177,7 @@ def _small(keys: list[Key], rules: list[Rule], view: View) -> dict[Key, DataFram
 
 
 def _as_facts(spark: SparkSession, rows, width: int) -> DataFrame:
-    names = [f"_{i}" for i in range(width)]
-    schema = ", ".join(f"{n} string" for n in names)
-    return spark.createDataFrame(pd.DataFrame(list(rows), columns=names), schema) if rows else spark.createDataFrame([], schema)
+    return local_table(spark, rows, [f"_{i}" for i in range(width)])
 
 
 def _reach(after: dict[str, list[str]], starts) -> set[str]:
@@ -286,7 +283,7 @@ def reachable(shape: Closure, view: View, start: str, forward: bool) -> DataFram
             break
         seen = cut(seen.unionByName(front), "reached")
     if not from_start:
-        ends = seen.select(F.col("_1").alias("_0")).unionByName(view.edges.sparkSession.createDataFrame([(start,)], "_0 string")).distinct()
+        ends = seen.select(F.col("_1").alias("_0")).unionByName(local_table(view.edges.sparkSession, [(start,)], ["_0"])).distinct()
         seen = ends.join(base, "_0").select("_1").distinct()
     out = seen.select(F.lit(start).alias("_0"), "_1")
     return out if forward else _pairs(out, "_1", "_0")
@@ -295,7 +292,7 @@ def reachable(shape: Closure, view: View, start: str, forward: bool) -> DataFram
 def semi_naive(keys: list[Key], rules: list[Rule], view: View) -> dict[Key, DataFrame]:
     """Least fixpoint of a recursive group: each round joins the newest facts of one atom with all facts of the others."""
     spark = view.edges.sparkSession
-    none = {k: spark.createDataFrame([], ", ".join(f"_{i} string" for i in range(k[1]))) for k in keys}
+    none = {k: _as_facts(spark, [], k[1]) for k in keys}
     seeds = {k: [r for r in rules if r.head.key == k and not any(c in keys for c in called(r.body))] for k in keys}
     full = {k: cut(plain_facts(seeds[k], view), "facts") if seeds[k] else none[k] for k in keys}
     delta = dict(full)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quiverlog.functions.identity import compound_prefix
 from quiverlog.operators.conjunction import View
 from quiverlog.operators.fixpoint import MOST_ROUNDS, union
-from quiverlog.sources.shared import cut
+from quiverlog.sources.shared import cut, local_table
 
 #: Policy relations kept as plain edges.
 ACTS_FOR = "liquid/acts_for"
@@ -39,8 +39,8 @@ def effective_scope(edges: DataFrame, principal: str) -> DataFrame:
                 if q not in seen:
                     seen.add(q)
                     work.append(q)
-        return spark.createDataFrame([(q,) for q in sorted(seen)], "q string")
-    seen = front = spark.createDataFrame([(principal,)], "q string")
+        return local_table(spark, [(q,) for q in sorted(seen)], ["q"])
+    seen = front = local_table(spark, [(principal,)], ["q"])
     for _ in range(MOST_ROUNDS):
         front = cut(acts.join(front, acts["subject"] == front["q"]).select(F.col("object").alias("q")).distinct().join(seen, "q", "left_anti"), "scope")
         if front.isEmpty():

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -31,3 +32,9 @@ def write_table(df: DataFrame, tag: str) -> str:
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(write_table(df, tag))
+
+
+def local_table(spark: SparkSession, rows, names: list[str]) -> DataFrame:
+    """Strings that the driver holds, as a local relation: the optimizer knows its size and filters it while planning."""
+    columns = list(zip(*rows)) if rows else [()] * len(names)
+    return spark.createDataFrame(pa.table({n: pa.array(c, pa.string()) for n, c in zip(names, columns)}))

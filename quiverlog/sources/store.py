@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiverlog.sources.shared import cut
+from quiverlog.sources.shared import cut, local_table
 
 KEYS = ["subject", "predicate", "object"]
 EDGES = "subject string, predicate string, object string"
@@ -65,12 +65,11 @@ class GraphStore:
 
     def __init__(self, spark: SparkSession, edges: DataFrame | None = None, bootstrap: bool = True):
         self.spark, self.tx, self.layers = spark, 0, 0
-        base = spark.createDataFrame(bootstrap_edges() if bootstrap else [], EDGES)
+        base = local_table(spark, bootstrap_edges() if bootstrap else [], KEYS)
         if edges is not None:
-            given = edges.select(*(F.col(k).cast("string").alias(k) for k in KEYS)).dropna()
-            base = given.unionByName(base) if bootstrap else given
-        # equal edges become one here; the only shuffle that building a store needs
-        self._records = base.distinct().select(*KEYS, F.lit(False).alias("is_deleted"), F.lit(0).cast("long").alias("tx_id"))
+            # equal edges become one here; the only shuffle that building a store needs
+            base = edges.select(*(F.col(k).cast("string").alias(k) for k in KEYS)).dropna().unionByName(base).distinct()
+        self._records = base.select(*KEYS, F.lit(False).alias("is_deleted"), F.lit(0).cast("long").alias("tx_id"))
         self._live: DataFrame | None = None
 
     @classmethod
@@ -112,11 +111,11 @@ class GraphStore:
             self._apply(edges.select(*KEYS).dropna().distinct(), False, False)
         elif batch := list(dict.fromkeys(edges)):
             # a program's own edges are as many as its text holds
-            self._apply(self.spark.createDataFrame(batch, EDGES), False, len(batch) <= 100_000)
+            self._apply(local_table(self.spark, batch, KEYS), False, len(batch) <= 100_000)
 
     def tombstone(self, edges: Iterable[tuple[str, str, str]] | DataFrame) -> None:
         """Hide edges; unknown ones are ignored."""
-        gone = edges.select(*KEYS).distinct() if isinstance(edges, DataFrame) else self.spark.createDataFrame(list(dict.fromkeys(edges)), EDGES)
+        gone = edges.select(*KEYS).distinct() if isinstance(edges, DataFrame) else local_table(self.spark, list(dict.fromkeys(edges)), KEYS)
         self._apply(gone.join(self._records.select(*KEYS), KEYS, "left_semi"), True, False)
 
     def declared_roles(self, kinds: set[str]) -> dict[str, set[str]]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quiverlog.errors import NormalizerError
 from quiverlog.functions.identity import compound_edges_column
-from quiverlog.sources.shared import cut
+from quiverlog.sources.shared import cut, local_table
 from quiverlog.sources.store import KEYS, GraphStore
 
 LEDGER = ["source", "normalizer", "row_key", *KEYS]
@@ -38,7 +38,7 @@ class Normalizers:
     def __init__(self, store: GraphStore):
         self.store = store
         self.registrations: dict[tuple[str, str], Registration] = {}
-        self.ledger = store.spark.createDataFrame([], ", ".join(f"{c} string" for c in LEDGER))
+        self.ledger = local_table(store.spark, [], LEDGER)
 
     def create(self, source: str, rows: DataFrame, name: str, kind: str, role_columns: Mapping[str, str], key_columns: Sequence[str], backfill: bool = True) -> None:
         """Register ``role_columns`` (role to column) of a table with declared key columns."""

@@ -78,7 +78,7 @@ def test_round_limit(spark, monkeypatch):
     engine = Engine(GraphStore(spark))
     engine.query(" ".join(f'Edge("n{i}","p","n{i + 1}").' for i in range(9)))
     with pytest.raises(ProgramLimitError):
-        engine.query('A(x,y) :- Edge(x,"p",y). A(x,z) :- A(x,y), Edge(y,"p",z). A(x,y)?')
+        engine.query('A(x,y) :- Edge(x,"p",y). B(x,z) :- A(x,y), Edge(y,"p",z). A(x,z) :- B(x,y), Edge(y,"p",z). A(x,y)?')
 
 
 def test_bag_after_projection(engine):
