@@ -21,6 +21,8 @@ SMALL_GROUP = 12
 #: Pairs whose signatures agree in fewer components than 0.8 less four standard deviations are not verified.
 LEAST_AGREEING = int(SIZE * (THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / SIZE) ** 0.5))
 SEGMENT = 4 << 20
+#: Classes of rows that all lack an id have numbers from here on.
+NO_ID = 1 << 62
 #: Shingles whose signatures are made together, and arrivals drawn at once: some 40 MB of arrays.
 TOGETHER, ARRIVALS = 100_000, 400_000
 
@@ -241,18 +243,23 @@ def components(links: DataFrame) -> DataFrame:
     return labels.select("node", "label")
 
 
+def _unnamed() -> F.Column:
+    """Number of a text that no row with an id has, above all ids below NO_ID."""
+    return F.lit(NO_ID) + F.shiftrightunsigned("key_a", 2)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Class of each row of ``docs`` (doc_id, text): doc_id, class_id (the smallest doc_id of the class), key_a, key_b.
 
     Documents are linked if the probability Jaccard similarity of their weighted five-word shingles (words of letters and digits,
     A-Z lowered) is 0.8 or more; a class is what links connect. Equal texts are one node. A text of fewer than five words has
     one shingle, all its words; texts without words are alike. One row for each row, repeated ones too; rows that share an id share
-    a class. Rows without an id whose text no row with an id has form a class with a negative number. An empty table
-    gives no rows; other columns are ignored.
+    a class. Rows without an id belong to classes like others; a class in which no row has an id has a number from NO_ID on.
+    An empty table gives no rows; other columns are ignored.
     """
     sketched = stored(sketch_documents(docs), "sketches")
     texts = sketched.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("low"), F.first("sketch").alias("sketch"))
-    texts = texts.select("key_a", "key_b", F.coalesce("low", -1 - F.shiftrightunsigned("key_a", 1)).alias("node"), "sketch")
+    texts = texts.select("key_a", "key_b", F.coalesce("low", _unnamed()).alias("node"), "sketch")
     nodes = stored(texts, "nodes")
     pairs = candidate_pairs(nodes)
     # signatures first: they are small, and most chance meetings end here
@@ -279,7 +286,8 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one document of each class, that with the smallest id, with all their columns as they were."""
     found = near_duplicates(docs)
     i, a, b = own_name(docs, "_id"), own_name(docs, "_a"), own_name(docs, "_b")
-    chosen = found.filter("doc_id = class_id or (doc_id is null and class_id < 0)").select(F.col("doc_id").alias(i), F.col("key_a").alias(a), F.col("key_b").alias(b)).distinct()
+    # the equality becomes a join key beside the text's, so that copies of one text are dealt out by their ids
+    chosen = found.filter(F.coalesce("doc_id", _unnamed()) == F.col("class_id")).select(F.col("doc_id").alias(i), F.col("key_a").alias(a), F.col("key_b").alias(b)).distinct()
     one, two = (k for k in text_keys(docs["text"]))
     kept = docs.withColumns({a: one, b: two}).join(chosen.withColumnsRenamed({a: a + "_", b: b + "_"}), F.col(a).eqNullSafe(F.col(a + "_")) & F.col(b).eqNullSafe(F.col(b + "_")) & docs["doc_id"].cast("long").eqNullSafe(chosen[i]), "left_semi")
     return kept.dropDuplicates(["doc_id", a, b]).drop(a, b)

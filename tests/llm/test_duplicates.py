@@ -139,7 +139,7 @@ def test_classes_equal_brute_force(spark, monkeypatch, small):
     texts = near_case()
     found = probminhash.near_duplicates(documents(spark, texts)).collect()
     assert len(found) == len(texts)
-    assert {(r["doc_id"], r["class_id"] if r["class_id"] >= 0 else None) for r in found} == brute_classes(texts)
+    assert {(r["doc_id"], r["class_id"] if r["class_id"] < probminhash.NO_ID else None) for r in found} == brute_classes(texts)
 
 
 def test_one_of_each_class_stays(spark):
@@ -149,6 +149,9 @@ def test_one_of_each_class_stays(spark):
     ids = Counter(r["doc_id"] for r in kept.collect())
     classes = {c for _, c in brute_classes(near_case()) if c is not None}
     assert {i for i in ids if i is not None} == classes and max(ids.values()) == 1
+    base = prose(1, 100)
+    rows = [(None, base), (None, edited(base, 1, 1)), (-5, edited(base, 1, 2)), (None, prose(2, 100)), (None, edited(prose(2, 100), 1, 3)), (None, prose(2, 100))]
+    assert [r["doc_id"] for r in probminhash.keep_one_of_each(documents(spark, rows)).orderBy("doc_id").collect()] == [None, -5]
 
 
 def test_no_documents(spark):
