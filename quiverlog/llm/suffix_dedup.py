@@ -422,8 +422,9 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key_a", "key_b", "n_removed", "n_spans", "kept"])
 
     spans = stored(repeated_spans(docs), "spans")
-    texts = docs.select(*text_keys(F.col("text")), text.alias("text"))
-    cut = texts.join(spans, ["key_a", "key_b"]).mapInArrow(run, "key_a long, key_b long, n_removed long, n_spans long, kept string").dropDuplicates(["key_a", "key_b"])
+    # equal texts become one in each task, before they are shuffled
+    texts = docs.select(*text_keys(F.col("text")), text.alias("text")).groupBy("key_a", "key_b").agg(F.first("text").alias("text"))
+    cut = texts.join(spans, ["key_a", "key_b"]).mapInArrow(run, "key_a long, key_b long, n_removed long, n_spans long, kept string")
     return base.join(cut, ["key_a", "key_b"], "left").select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept", "whole").alias("kept_sha256"))
 
 
