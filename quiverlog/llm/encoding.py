@@ -17,8 +17,8 @@ UPPER = "A-Z\xc0-\xd6\xd8-\xde"
 NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: Texts of these characters alone are cut into words here; others are cut at white space, and the library does the rest.
 PLAIN = "\x00-\xff" + f"{chr(0x2010)}-{chr(0x2027)}"
-#: Words that a worker remembers, some 130 MB; forgotten all at once when full.
-CACHE_WORDS = 600_000
+#: Words that a worker remembers, some 200 MB; forgotten all at once when full.
+CACHE_WORDS = 1_000_000
 
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 
