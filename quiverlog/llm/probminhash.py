@@ -196,7 +196,8 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
     """Pairs (a < b) of ``nodes`` (node, sketch) that meet in a band.
 
     Members of a large band group meet again in the groups of every two of their bands, which are smaller and tell unlike texts apart,
-    so a large group has many leaders and texts unlike its leader still find each other.
+    so a large group has many leaders and most texts unlike its leader still find each other. Two texts that only ever meet in large
+    groups and are both unlike all leaders do not: such links are lost, see the README for figures.
     """
     keys = [F.xxhash64(F.slice("sketch", 1 + ROWS * j, ROWS), F.lit(j)) for j in range(BANDS)]
     members = nodes.select("node", F.explode(F.array(*keys)).alias("key"))
@@ -252,7 +253,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """Class of each row of ``docs`` (doc_id, text): doc_id, class_id (the smallest doc_id of the class), key_a, key_b.
 
     Documents are linked if the probability Jaccard similarity of their weighted five-word shingles (words of letters and digits,
-    A-Z lowered) is 0.8 or more; a class is what links connect. Equal texts are one node. A text of fewer than five words has
+    A-Z lowered) is 0.8 or more; a class is what the links found by ``candidate_pairs`` connect. Equal texts are one node. A text of fewer than five words has
     one shingle, all its words; texts without words are alike. One row for each row, repeated ones too; rows that share an id share
     a class. Rows without an id belong to classes like others; a class in which no row has an id has a number from NO_ID on.
     An empty table gives no rows; other columns are ignored.
