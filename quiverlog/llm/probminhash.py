@@ -16,8 +16,12 @@ THRESHOLD = 0.8
 #: 20 bands of 5 components: a pair at similarity 0.8 shares no band with probability 0.0004.
 BANDS, ROWS = 20, 5
 SIZE = BANDS * ROWS
-#: Groups of at most this many members are compared member by member; larger ones through their leaders.
+#: Groups of at most this many members are compared member by member; larger ones through their leaders, then block by block.
 SMALL_GROUP = 12
+#: A block of a large group holds some so many members, and some so many bytes of text.
+BLOCK, BLOCK_BYTES = 512, 4 << 20
+#: Columns of the matrices that bound similarities, and members whose signatures are compared with a block at once.
+COLUMNS, STRIPE = 4096, 32
 #: Pairs whose signatures agree in fewer components than 0.8 less four standard deviations are not verified.
 LEAST_AGREEING = int(SIZE * (THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / SIZE) ** 0.5))
 SEGMENT = 4 << 20
@@ -157,7 +161,7 @@ def text_keys(text: F.Column) -> list[F.Column]:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, held, rows, size = batch.column(3), [], [], 0
+        texts, held, rows, size = batch.column(4), [], [], 0
         for i in range(batch.num_rows):
             held.append(shingles(texts[i].as_py()))
             size += len(held[-1][0])
@@ -166,14 +170,15 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, size = [], 0
         found = np.concatenate(rows) if rows else np.zeros((0, SIZE), np.uint32)
         lists = pa.ListArray.from_arrays(np.arange(0, found.size + 1, SIZE, dtype=np.int32), found.ravel().view(np.int32))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], names=["doc_id", "key_a", "key_b", "sketch"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], lists], names=["doc_id", "key_a", "key_b", "bytes", "sketch"])
 
 
 def sketch_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, text keys and signature of each row of ``docs`` (doc_id, text)."""
+    """doc_id, text keys, length in bytes and signature of each row of ``docs`` (doc_id, text)."""
     modest_batches(docs.sparkSession)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys(F.col("text")), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(_sketches, "doc_id long, key_a long, key_b long, sketch array<int>")
+    text = F.col("text").cast("string")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys(F.col("text")), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), text.alias("text"))
+    return slim.mapInArrow(_sketches, "doc_id long, key_a long, key_b long, bytes long, sketch array<int>")
 
 
 def _grouped_pairs(members: DataFrame, degree: DataFrame) -> DataFrame:
@@ -192,17 +197,20 @@ def _grouped_pairs(members: DataFrame, degree: DataFrame) -> DataFrame:
     return large.unionByName(pairs)
 
 
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs (a < b) of ``nodes`` (node, sketch) that meet in a band.
+def band_groups(nodes: DataFrame) -> DataFrame:
+    """Members of the groups of ``nodes`` (node, sketch) that have a band in common: node, band, key and size ``n`` of the group."""
+    keys = [F.xxhash64(F.slice("sketch", 1 + ROWS * j, ROWS), F.lit(j)) for j in range(BANDS)]
+    members = nodes.select("node", F.posexplode(F.array(*keys)).alias("band", "key"))
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return stored(members.join(sizes, "key").select("node", "band", "key", "n"), "bands")
+
+
+def candidate_pairs(shared: DataFrame) -> DataFrame:
+    """Pairs (a < b) of nodes that meet in a group of ``shared`` (``band_groups``), of large groups those with a leader only.
 
     Members of a large band group meet again in the groups of every two of their bands, which are smaller and tell unlike texts apart,
-    so a large group has many leaders and most texts unlike its leader still find each other. Two texts that only ever meet in large
-    groups and are both unlike all leaders do not: such links are lost, see the README for figures.
+    so a large group has many leaders and most of its links are found; ``block_links`` finds the rest.
     """
-    keys = [F.xxhash64(F.slice("sketch", 1 + ROWS * j, ROWS), F.lit(j)) for j in range(BANDS)]
-    members = nodes.select("node", F.explode(F.array(*keys)).alias("key"))
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = stored(members.join(sizes, "key").select("node", "key", "n"), "bands")
     degree = shared.groupBy("node").agg(F.sum("n").alias("degree"))
     single = _grouped_pairs(shared.select("node", "key"), degree)
 
@@ -228,6 +236,121 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
+def _bounds(left: list[tuple], right: list[tuple]) -> np.ndarray:
+    """Upper bounds of the similarity of each left and each right set; the similarity itself where no shingle repeats.
+
+    Shingles with equal counts add their share of the sum of greater counts, others at most the smaller of their two shares of a text.
+    """
+    m, n = len(left), len(right)
+    keys, counts = np.concatenate([x for x, _ in left + right]), np.concatenate([c for _, c in left + right]).astype(np.float64)
+    owner = np.repeat(np.arange(m + n), [len(x) for x, _ in left + right])
+    total = np.bincount(owner, counts, m + n)
+    # only shingles of both sides count
+    names, place = np.unique(keys, return_inverse=True)
+    both = np.zeros((2, len(names)), bool)
+    both[(owner >= m).astype(np.intp), place] = True
+    number = np.cumsum(both.all(0)) - 1
+    wanted = both.all(0)[place]
+    owner, counts, place = owner[wanted], counts[wanted], number[place[wanted]]
+    order = np.argsort(place, kind="stable")
+    owner, counts, place = owner[order], counts[order], place[order]
+    equal, least, of_left, of_right = (np.zeros((m, n)) for _ in range(4))
+    top = int(place[-1]) + 1 if len(place) else 0
+    for low in range(0, top, COLUMNS):
+        a, b = np.searchsorted(place, [low, low + COLUMNS])
+        table = np.zeros((m + n, min(COLUMNS, top - low)))
+        table[owner[a:b], place[a:b] - low] = counts[a:b]
+        plain = table.max(0) <= 1
+        once = table[:m, plain] @ table[m:, plain].T
+        equal, least, of_left, of_right = equal + once, least + once, of_left + once, of_right + once
+        x, y = table[:m, ~plain], table[m:, ~plain]
+        of_left += x @ (y > 0).T.astype(np.float64)
+        of_right += (x > 0).astype(np.float64) @ y.T
+        before = 0.0
+        for value in np.unique(np.r_[x.ravel(), y.ravel()]):
+            if value:
+                some = (x >= value).any(0) & (y >= value).any(0)
+                p, q = x[:, some], y[:, some]
+                equal += value * ((p == value).astype(np.float64) @ (q == value).T.astype(np.float64))
+                least += (value - before) * ((p >= value).astype(np.float64) @ (q >= value).T.astype(np.float64))
+                before = value
+    sums = total[:m, None] + total[None, m:]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        unequal = np.minimum((of_left - equal) / total[:m, None], (of_right - equal) / total[None, m:])
+        found = equal / (sums - least) + unequal
+    empty = (total[:m, None] == 0) | (total[None, m:] == 0)
+    return np.where(empty, ((total[:m, None] == 0) & (total[None, m:] == 0)).astype(np.float64), found)
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links between classes from two blocks of a large group (or one with itself): signatures, then bounds, then exact similarity.
+
+    A pair counts in the first band that it shares; pairs of one class, also by links found here, are skipped.
+    """
+    column = lambda name: table[name].to_numpy()
+    block, label, node = column("block"), column("label"), column("node")
+    low, high, band = (int(column(name)[0]) for name in ("low", "high", "band"))
+    sketch = table["sketch"].combine_chunks().flatten().to_numpy().reshape(-1, SIZE)
+    one, two = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    pairs = []
+    for k in range(0, len(one), STRIPE):
+        part = one[k : k + STRIPE]
+        good = (sketch[part, None, :] == sketch[None, two, :]).sum(2) >= LEAST_AGREEING
+        good &= label[part, None] != label[None, two]
+        if low == high:
+            good &= node[part, None] < node[None, two]
+        i, j = np.nonzero(good)
+        i, j = part[i], two[j]
+        earlier = (sketch[i, : ROWS * band] == sketch[j, : ROWS * band]).reshape(len(i), band, ROWS).all(2).any(1) if band else np.zeros(len(i), bool)
+        pairs.append(np.stack([i[~earlier], j[~earlier]]))
+    i, j = np.concatenate(pairs, 1) if pairs else np.zeros((2, 0), np.intp)
+    links: list[tuple[int, int]] = []
+    if len(i):
+        rows, columns = np.unique(i), np.unique(j)
+        texts = table["text"]
+        sets = {int(r): shingles(texts[int(r)].as_py()) for r in np.union1d(rows, columns)}
+        bound = _bounds([sets[r] for r in rows.tolist()], [sets[c] for c in columns.tolist()])[np.searchsorted(rows, i), np.searchsorted(columns, j)]
+        near = np.flatnonzero(bound >= THRESHOLD - 1e-9)
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while up.get(x, x) != x:
+                up[x] = x = up.get(up[x], up[x])
+            return x
+
+        near = near[np.argsort(-bound[near], kind="stable")]
+        for r, c in zip(i[near].tolist(), j[near].tolist()):
+            a, b = top(int(label[r])), top(int(label[c]))
+            if a != b and similarity(sets[r], sets[c]) >= THRESHOLD:
+                up[a] = b
+                links.append((int(label[r]), int(label[c])))
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+
+def large_members(shared: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of large groups that still hold several ``classes`` (node, label), each once for every two blocks it is compared in.
+
+    The largest class of a group has blocks of its own, which are not compared with each other. How often a member appears depends on
+    the group's blocks: no key gathers a group.
+    """
+    marked = shared.filter(F.col("n") > SMALL_GROUP).select("node", "band", "key").join(nodes, "node").join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sums = marked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    groups = sums.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "label", "bytes")).alias("main")).filter("labels > 1")
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+    cuts = groups.select("key", F.col("main.label").alias("main"), blocks(F.col("main.n"), F.col("main.bytes")).alias("own"), blocks(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")).alias("others"))
+    dealt = marked.join(cuts, "key")
+    salt = F.xxhash64("node", F.lit(7))
+    dealt = dealt.withColumn("block", F.when(F.col("label") == F.col("main"), F.pmod(salt, F.col("own"))).otherwise(F.col("own") + F.pmod(salt, F.col("others"))).cast("int"))
+    meetings = F.expr("transform(filter(sequence(0, own + others - 1), o -> greatest(o, block) >= own), o -> struct(least(o, block) as low, greatest(o, block) as high))")
+    return dealt.select("key", "band", "node", "label", "block", "sketch", "key_a", "key_b", F.explode(meetings).alias("m")).select("*", "m.low", "m.high").drop("m")
+
+
+def block_links(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) of classes among ``members`` (``large_members``), compared in full by their ``texts`` (key_a, key_b, text)."""
+    whole = members.join(texts, ["key_a", "key_b"]).drop("key_a", "key_b")
+    return whole.groupBy("key", "low", "high").applyInArrow(_block_links, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """The smallest node that each node of ``links`` (a, b) is connected to: node, label.
 
@@ -259,17 +382,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     An empty table gives no rows; other columns are ignored.
     """
     sketched = stored(sketch_documents(docs), "sketches")
-    texts = sketched.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("low"), F.first("sketch").alias("sketch"))
-    texts = texts.select("key_a", "key_b", F.coalesce("low", _unnamed()).alias("node"), "sketch")
+    texts = sketched.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("low"), F.first("bytes").alias("bytes"), F.first("sketch").alias("sketch"))
+    texts = texts.select("key_a", "key_b", F.coalesce("low", _unnamed()).alias("node"), "bytes", "sketch")
     nodes = stored(texts, "nodes")
-    pairs = candidate_pairs(nodes)
+    shared = band_groups(nodes)
+    pairs = candidate_pairs(shared)
     # signatures first: they are small, and most chance meetings end here
     one = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"), F.col("key_a").alias("a1"), F.col("key_b").alias("a2"))
     two = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"), F.col("key_a").alias("b1"), F.col("key_b").alias("b2"))
     same = F.expr("aggregate(zip_with(sketch_a, sketch_b, (x, y) -> if(x = y, 1, 0)), 0, (n, x) -> n + x)")
     close = stored(pairs.join(one, "a").join(two, "b").filter(same >= LEAST_AGREEING).select("a", "b", "a1", "a2", "b1", "b2"), "pairs")
-    # one text of each node that is in a pair
-    wanted = close.select(F.col("a1").alias("key_a"), F.col("a2").alias("key_b")).unionByName(close.select(F.col("b1").alias("key_a"), F.col("b2").alias("key_b"))).distinct()
+    # one text of each node that is in a pair or in a large group
+    crowded = shared.filter(F.col("n") > SMALL_GROUP).select("node").distinct().join(nodes, "node").select("key_a", "key_b")
+    wanted = close.select(F.col("a1").alias("key_a"), F.col("a2").alias("key_b")).unionByName(close.select(F.col("b1").alias("key_a"), F.col("b2").alias("key_b"))).unionByName(crowded).distinct()
     keyed = docs.select(*text_keys(F.col("text")), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # equal texts become one in each task, before they are shuffled; a merge join at every size: the pairs grow with the corpus,
     # and a plan that broadcast them while they are few would not last
@@ -279,6 +404,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     right = needed.select(F.col("key_a").alias("b1"), F.col("key_b").alias("b2"), F.col("text").alias("text_b"))
     links = close.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
     found = components(links)
+    # what the leaders of large groups left apart, in full: links of classes, which join them
+    beyond = components(block_links(large_members(shared, nodes, found), needed)).select(F.col("node").alias("label"), F.col("label").alias("least"))
+    found = found.unionByName(beyond.select(F.col("label").alias("node"), "label").join(found.select("node"), "node", "left_anti"))
+    found = found.join(beyond, "label", "left").select("node", F.coalesce("least", "label").alias("label"))
     classes = nodes.select("key_a", "key_b", "node").join(found, "node", "left").select("key_a", "key_b", F.coalesce("label", "node").alias("class_id"))
     return sketched.select("doc_id", "key_a", "key_b").join(classes, ["key_a", "key_b"]).select("doc_id", "class_id", "key_a", "key_b")
 

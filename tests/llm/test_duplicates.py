@@ -142,6 +142,35 @@ def test_classes_equal_brute_force(spark, monkeypatch, small):
     assert {(r["doc_id"], r["class_id"] if r["class_id"] < probminhash.NO_ID else None) for r in found} == brute_classes(texts)
 
 
+@pytest.mark.parametrize("block", [512, 40])
+def test_links_inside_large_groups(spark, monkeypatch, block):
+    """Texts that meet in large groups only, most of them unlike every leader."""
+    monkeypatch.setattr(probminhash, "BLOCK", block)
+    hub = prose(3, 200)
+    texts = []
+    for k in range(150):
+        one = edited(hub, 3, 3000 + k)
+        texts += [(2 * k, one), (2 * k + 1, edited(one, 5, 15000 + k))]
+    texts.append((1000, hub + " " + " ".join(hub.split()[:8])))
+    found = probminhash.near_duplicates(documents(spark, texts)).collect()
+    assert {(r["doc_id"], r["class_id"]) for r in found} == brute_classes(texts)
+
+
+def test_bounds_hold(monkeypatch):
+    monkeypatch.setattr(probminhash, "COLUMNS", 30)
+    r = np.random.default_rng(2)
+    base = r.integers(1, 2**63, 120).astype(np.uint64)
+    sets = [(np.empty(0, np.uint64), np.empty(0, np.int64))]
+    for k in range(40):
+        own = np.unique(np.r_[base[r.random(120) < 0.9], r.integers(1, 2**63, 5).astype(np.uint64)])
+        sets.append((own, np.ones(len(own), np.int64) if k % 2 else np.where(r.random(len(own)) < 0.1, r.integers(1, 4, len(own)), 1)))
+    bounds = probminhash._bounds(sets[:25], sets)
+    exact = np.array([[probminhash.similarity(a, b) for b in sets] for a in sets[:25]])
+    assert (bounds >= exact - 1e-12).all() and (bounds - exact).max() < 0.2
+    once = np.array([not len(c) or c.max() == 1 for _, c in sets])
+    assert np.abs(bounds - exact)[once[:25]][:, once].max() < 1e-12
+
+
 def test_one_of_each_class_stays(spark):
     docs = documents(spark, near_case()).withColumnRenamed("source", "_a")
     kept = probminhash.keep_one_of_each(docs)
