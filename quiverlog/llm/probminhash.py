@@ -79,16 +79,21 @@ def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     data = (text or "").encode("utf-8", "surrogatepass").translate(_NORMAL)
     if len(data) <= SEGMENT:
         found = _segment_shingles(data)
-    else:  # long texts in pieces that share four words
-        parts, at = [], 0
-        while at < len(data):
-            stop = data.find(b" ", at + SEGMENT)
+    else:  # long texts in pieces of five words or more that share four
+        data, parts, at = data.strip(), [], 0
+        stop = SEGMENT
+        while True:
+            stop = data.find(b" ", stop)
             stop = len(data) if stop < 0 else stop
+            tail = data[at:stop].rsplit(None, SHINGLE - 1)
+            if stop < len(data) and len(tail) < SHINGLE:  # a blob or a run of blanks: as far again
+                stop += stop - at
+                continue
             parts.append(_segment_shingles(data[at:stop]))
             if stop == len(data):
                 break
-            tail = data[at:stop].rsplit(None, SHINGLE - 1)
-            at = stop - (len(data[at:stop]) - len(tail[0]) if len(tail) == SHINGLE else stop - at)
+            at += len(tail[0])
+            stop = at + SEGMENT
         found = np.concatenate(parts)
     return np.unique(found, return_counts=True)
 

@@ -214,6 +214,17 @@ def test_shingles_of_long_texts_in_pieces(monkeypatch):
     assert len(probminhash.shingles(None)[0]) == 0 and len(probminhash.shingles("...")[0]) == 0
 
 
+@pytest.mark.parametrize("text", [
+    "x" * 2000 + " " + prose(1, 300), " |-" * 700 + prose(2, 300), prose(3, 200) + " " * 3000 + prose(4, 200), "a b c " + "y" * 900 + " " + "z" * 5000 + " d e",
+    prose(5, 200) + "-" * 3000, "q" * 3000, " " * 3000, "one two " + " " * 3000 + "three", prose(6, 150) + " " * 900 + "end",
+])
+def test_shingles_of_blobs_and_blanks_in_pieces(monkeypatch, text):
+    whole = probminhash.shingles(text)
+    monkeypatch.setattr(probminhash, "SEGMENT", 700)
+    pieces = probminhash.shingles(text)
+    assert whole[0].tolist() == pieces[0].tolist() and whole[1].tolist() == pieces[1].tolist()
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 103)], "a long, b long")
     found = {r["node"]: r["label"] for r in probminhash.components(links).collect()}
