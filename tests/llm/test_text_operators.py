@@ -114,6 +114,19 @@ def test_verdict_rejects_repetition_and_noise():
     assert not good(prose(13, 1200) + " " + noise)  # by its chunks
 
 
+@pytest.mark.parametrize("size", [256, 400, 511, 512, 1000, 1023, 1024, 1500, 4000, 4095, 6000])
+def test_base64_is_rejected_at_every_length(size):
+    import base64
+    import random
+
+    packer = compression_rules.zstandard.ZstdCompressor(level=compression_rules.LEVEL)
+    good = lambda t: compression_rules.measure(t, packer)[6]
+    for seed in range(10):
+        blob = base64.b64encode(random.Random(seed).randbytes(size)).decode()
+        assert not good(" ".join(blob[i : i + 11] for i in range(0, len(blob), 11))[:size])
+        assert good(prose(seed, size)[:size])
+
+
 # --- piece counts ---
 
 
