@@ -282,6 +282,8 @@ def reachable(shape: Closure, view: View, start: str, forward: bool) -> DataFram
         if front.isEmpty():
             break
         seen = cut(seen.unionByName(front), "reached")
+    else:
+        raise ProgramLimitError(f"recursion did not end within {MOST_ROUNDS} rounds")
     if not from_start:
         ends = seen.select(F.col("_1").alias("_0")).unionByName(local_table(view.edges.sparkSession, [(start,)], ["_0"])).distinct()
         seen = ends.join(base, "_0").select("_1").distinct()

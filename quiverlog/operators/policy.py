@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quiverlog.errors import ProgramLimitError
 from quiverlog.functions.identity import compound_prefix
 from quiverlog.operators.conjunction import View
 from quiverlog.operators.fixpoint import MOST_ROUNDS, union
@@ -46,6 +47,8 @@ def effective_scope(edges: DataFrame, principal: str) -> DataFrame:
         if front.isEmpty():
             break
         seen = cut(seen.unionByName(front), "scope")
+    else:
+        raise ProgramLimitError(f"acts_for did not end within {MOST_ROUNDS} rounds")
     return seen
 
 

@@ -170,3 +170,12 @@ def test_save_and_load(engine, tmp_path, spark):
     again.insert([("a", "p/q", "c")])
     again.save(str(tmp_path))
     assert rows(Engine(GraphStore.load(spark, str(tmp_path))).query('Edge("a","p/q",o)?')) == [("b",), ("c",)]
+
+
+@pytest.mark.parametrize("query", ['R("n0", y)?', 'R(x, "n5")?'])
+def test_bound_closure_beyond_the_rounds_is_an_error(spark, monkeypatch, query):
+    monkeypatch.setattr(fixpoint, "MOST_ROUNDS", 2)
+    engine = Engine(GraphStore(spark), small_graphs=False)
+    engine.query(" ".join(f'Edge("n{i}", "next", "n{i + 1}").' for i in range(5)))
+    with pytest.raises(ProgramLimitError):
+        engine.query('R(x, y) :- Edge(x, "next", y). R(x, z) :- R(x, y), R(y, z). ' + query)
