@@ -18,7 +18,8 @@ LENGTH = 200
 #: Bytes of an anchor. Every string of LENGTH bytes holds LENGTH - GRAM + 1 grams; the one of least hash is its anchor.
 GRAM = 64
 REACH = LENGTH - GRAM + 1
-#: Anchors that occur more often split their strings into steps of STEP starts, so that no group holds more contexts than that.
+#: Anchors that occur more often split their strings into steps of STEP starts; groups that still hold more contexts are compared string by
+#: string, so that no task gathers more contexts of a group than that.
 HOT = 512
 STEP = 8
 #: Suffixes are sorted in blocks of some BLOCK bytes of context, an 8-byte leading word at a time.
@@ -341,13 +342,39 @@ def _sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield found(block)
 
 
+def _single_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every string of each context: the context's key and count, the string's place in it and its own key."""
+    names = ["context_key", "place", "string_key", "n"]
+    for batch in batches:
+        rows = []
+        for bucket, key, context, n in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            salt = (bucket & (1 << 64) - 1).to_bytes(8, "big")
+            rows += [(key, k, hashlib.blake2b(context[k : k + LENGTH], digest_size=16, key=salt).digest(), n) for k in range(len(context) - LENGTH + 1)]
+        columns = zip(*rows) if rows else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int32(), pa.binary(), pa.int64()))], names=names)
+
+
+def crowded_spans(contexts: DataFrame) -> DataFrame:
+    """Repeated strings of contexts whose buckets hold too many of them: context_key, spans.
+
+    A passage in many texts with other surroundings everywhere shares all but the ends of its contexts, so its bucket grows with the
+    corpus. Equal contexts become one by partial sums; then each string, of at most STEP in a context, is counted for itself.
+    """
+    merged = contexts.groupBy("bucket", "context_key").agg(F.first("context").alias("context"), F.sum("n").alias("n"))
+    strings = stored(merged.select("bucket", "context_key", "context", "n").mapInArrow(_single_strings, "context_key binary, place int, string_key binary, n long"), "strings")
+    twice = strings.groupBy("string_key").agg(F.sum("n").alias("times")).filter("times > 1").select("string_key")
+    found = strings.join(twice, "string_key").groupBy("context_key").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    return found.select("context_key", F.expr("flatten(transform(places, x -> array(x, x)))").alias("spans"))
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """Texts of ``docs`` (text) with repeated strings: key_a, key_b, spans (arrays of place, then runs of first and last start).
 
     1. Anchors are counted over all texts; only strings whose anchor repeats can repeat.
     2. A text's repeated anchors are gathered at the text, which cuts a context around each, some 270 bytes.
     3. Contexts meet by anchor and are suffix-sorted block by block; equal contexts were merged in each task before the
-       shuffle, and anchors above HOT meet by finer keys, so no bucket grows with the corpus.
+       shuffle, anchors above HOT meet by finer keys, and buckets that still hold over HOT contexts are not gathered but
+       counted string by string (``crowded_spans``), so no bucket grows with the corpus.
     4. The runs found go back to the places of each context.
     """
     modest_batches(docs.sparkSession)
@@ -362,7 +389,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     table = stored(cut, "contexts")
     contexts = table.filter("context is not null").select("bucket", "context_key", "context", "head", "n")
     volume = contexts.agg(F.coalesce(F.sum(F.octet_length("context")), F.lit(0))).first()[0]
-    runs_of = stored(contexts.repartition(partitions_for(docs, volume, PARTITION_BYTES), "bucket").sortWithinPartitions("bucket").mapInArrow(_sort_blocks, "context_key binary, spans array<int>"), "runs")
+    # counted by partial sums; at most one bucket in HOT contexts, written so that its size is known before it is joined
+    crowded = stored(contexts.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > HOT).select("bucket"), "crowded")
+    sparse = contexts.join(crowded, "bucket", "left_anti").select("bucket", "context_key", "context", "head", "n")
+    runs_of = sparse.repartition(partitions_for(docs, volume, PARTITION_BYTES), "bucket").sortWithinPartitions("bucket").mapInArrow(_sort_blocks, "context_key binary, spans array<int>")
+    runs_of = stored(runs_of.unionByName(crowded_spans(contexts.join(crowded, "bucket", "left_semi"))), "runs")
     places = table.filter("places is not null").select("context_key", "key_a", "key_b", "places")
     back = places.join(runs_of, "context_key").select("key_a", "key_b", F.explode("places").alias("place"), "spans")
     # an exact copy gives the same places again: they are merged here

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quiverlog.llm import probminhash, suffix_dedup
@@ -45,6 +46,21 @@ def test_repeats_equal_brute_force(spark, monkeypatch, hot, block, slab):
     assert sorted((tuple(r) for r in suffix_dedup.repeated_bytes(documents(spark, texts).withColumnRenamed("lang", "spans")).collect()), key=repr) == brute_repeats(texts)
 
 
+@pytest.mark.parametrize("extra", [0, 1, 4, 9])
+def test_no_bucket_grows_with_a_shared_passage(spark, monkeypatch, extra):
+    """A passage in many texts, with other bytes around it in each: results as by brute force, with buckets split above 16."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 16)
+    r = random.Random(extra)
+    noise = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    passage = noise(200 + extra)
+    texts = [(k, noise(r.randint(0, 90)) + passage + noise(r.randint(0, 90))) for k in range(150)]
+    texts += [(500 + k, noise(300)[: 240 + k] + passage[: 199 + k % 3]) for k in range(20)]
+    docs = documents(spark, texts)
+    assert sorted((tuple(x) for x in suffix_dedup.repeated_bytes(docs).collect()), key=repr) == brute_repeats(texts)
+    table = list(suffix_dedup._single_strings([pa.record_batch({"bucket": pa.array([5, -5]), "context_key": pa.array([b"a", b"b"]), "context": pa.array([b"x" * 203, b"y" * 200]), "n": pa.array([1, 2])})]))[0]
+    assert table.num_rows == 5 and len(set(table.column(2).to_pylist())) == 2
+
+
 def test_repeats_of_nothing(spark):
     assert suffix_dedup.repeated_bytes(documents(spark, [])).collect() == []
     assert suffix_dedup.remove_repeated(documents(spark, [])).collect() == []
