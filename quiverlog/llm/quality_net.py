@@ -62,9 +62,9 @@ def activations(net: Net, data: np.ndarray) -> np.ndarray:
 
 
 def layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All texts one after the other, each padded to whole blocks (one at least); first block and length of each."""
+    """All texts one after the other, each padded to whole blocks so that no filter looks into the next; first block and length of each."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    blocks = np.maximum(1, -(-sizes // BLOCK))
+    blocks = -(-(sizes + WIDTH - STEP) // BLOCK)
     first = np.r_[0, np.cumsum(blocks)]
     data = np.zeros(int(first[-1]) * BLOCK + WIDTH - STEP, np.uint8)
     for t, b in zip(texts, first):

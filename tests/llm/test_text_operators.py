@@ -114,6 +114,48 @@ def test_verdict_rejects_repetition_and_noise():
     assert not good(prose(13, 1200) + " " + noise)  # by its chunks
 
 
+def brute_verdict(text):
+    """Ratio, share of bytes in bad chunks and verdict, chunk by chunk and with lines between limits drawn by hand."""
+    import math
+
+    data = (text or "").encode()
+    packed = lambda x: len(compression_rules.zstandard.ZstdCompressor(level=3).compress(x)) / len(x)
+
+    def inside(ratio, size):
+        for (n, a, b), (m, c, d) in zip(compression_rules.BANDS, compression_rules.BANDS[1:] + ((1 << 60, *compression_rules.BANDS[-1][1:]),)):
+            if n <= size < m:
+                part = math.log(size / max(n, 1)) / math.log(m / max(n, 1))
+                return a + (c - a) * part <= ratio <= b + (d - b) * part
+
+    if not data:
+        return 1.0, 0.0, False
+    chunks = [data[i : i + 4096] for i in range(0, len(data), 4096)]
+    if len(chunks) > 1 and len(chunks[-1]) < 1024:
+        last = chunks.pop()
+        chunks[-1] += last
+    bad = 0 if len(data) < 4096 + 1024 else sum(len(x) for x in chunks if not inside(packed(x), len(x)))
+    return packed(data), bad / len(data), inside(packed(data), len(data)) and bad / len(data) <= 0.25
+
+
+def test_verdicts_equal_brute_force(spark):
+    """Ratios, chunk shares and verdicts of prose, symbols, tables, noise and blends of them, of many lengths."""
+    import random
+
+    r, texts = random.Random(8), odd_texts()
+    for k in range(120):
+        size = 2 ** (5 + k % 11) + r.randrange(40)
+        kinds = [prose(k, size)[:size], " ".join(w + r.choice(["###", "%%%", "$$$"]) for w in words(k, size))[:size], " | ".join(words(k, size, 3))[:size], "".join(chr(r.randint(33, 126)) for _ in range(size))]
+        texts.append((1000 + k, r.choice(kinds) if k % 3 else r.choice(kinds) + "\n" + r.choice(kinds)))
+    found = compression_rules.compression_rules(documents(spark, texts)).select("doc_id", "whole_ratio", "bad_chunk_share", "kept").collect()
+    expected = []
+    for i, t in texts:
+        ratio, share, good = brute_verdict(t)
+        expected.append((i, round(ratio, 9), round(share, 9), good and not brute_rules(t)[-1]))
+    assert sorted(((i, round(a, 9), round(b, 9), k) for i, a, b, k in found), key=repr) == sorted(expected, key=repr)
+    kept = [k for *_, k in expected]
+    assert 10 < sum(kept) < len(kept) - 40
+
+
 @pytest.mark.parametrize("size", [256, 400, 511, 512, 1000, 1023, 1024, 1500, 4000, 4095, 6000])
 def test_base64_is_rejected_at_every_length(size):
     import base64
@@ -242,8 +284,33 @@ def test_quality_without_labels(spark):
     assert quality_net.quality_scores(documents(spark, []), none).collect() == []
 
 
-@pytest.mark.parametrize("size", [0, 1, 255, 256, 257, 600, 5000])
+def brute_score(net, text):
+    """The network's score by plain loops: every window of every filter, chunk by chunk."""
+    d, f = quality_net.DIMS, quality_net.FILTERS
+    span = lambda at: [text[k] if k < len(text) else 0 for k in range(at, at + quality_net.WIDTH)]
+
+    def maxima(begin, end):
+        best = [0.0] * f
+        for at in range(begin, min(end, len(text)), quality_net.STEP):
+            seen = [float(net.table[b, j]) for b in span(at) for j in range(d)]
+            for k in range(f):
+                best[k] = max(best[k], sum(x * float(w) for x, w in zip(seen, net.filters[:, k])) + float(net.bias[k]))
+        return best
+
+    step, blocks = quality_net.BLOCK, -(-(len(text) + quality_net.WIDTH - quality_net.STEP) // quality_net.BLOCK)
+    chunks = [maxima(c * step, (c + 2) * step) for c in range(max(1, blocks - 1))]
+    z = sum(max(c[k] for c in chunks) * float(net.most[k]) + sum(c[k] for c in chunks) / len(chunks) * float(net.mean[k]) for k in range(f)) + float(net.level[0])
+    return 1 / (1 + np.exp(-z))
+
+
+@pytest.mark.parametrize("size", [0, 3, 16, 250, 256, 300, 512, 700])
+def test_scores_equal_brute_force(size):
+    net, text = quality_net.new_net(9), prose(size, 300).encode()[:size]
+    assert abs(quality_net.scores(net, [b"before", text, b"after"])[1] - brute_score(net, text)) < 1e-5
+
+
+@pytest.mark.parametrize("size", [0, 1, 244, 245, 250, 255, 256, 257, 600, 5000])
 def test_scores_do_not_depend_on_neighbours(size):
     net, text = quality_net.new_net(3), prose(size, 2000).encode()[:size]
     alone = quality_net.scores(net, [text])[0]
-    assert abs(quality_net.scores(net, [b"other" * 100, text, b""])[1] - alone) < 1e-5
+    assert abs(quality_net.scores(net, [b"other" * 100, text, b"another", b""])[1] - alone) < 1e-5
