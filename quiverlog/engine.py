@@ -2,30 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quiverlog.errors import DatatypeMismatchError, InvalidParameterError, PrivilegeError
+from quiverlog.functions.identity import check_roles, compound_edges_column
 from quiverlog.operators.assertions import compile_assertions
 from quiverlog.operators.conjunction import View, conjunction
 from quiverlog.operators.fixpoint import derive
 from quiverlog.operators.policy import policy_view
 from quiverlog.plans.parser import parse
-from quiverlog.plans.rules import built_in_rules, called
-from quiverlog.plans.terms import Program, variables
+from quiverlog.plans.rules import built_in_rules, called, plan_predicates
+from quiverlog.plans.terms import EdgeAtom, Program, variables
+from quiverlog.sources.edge_cache import EdgeCache, HeldEdges
 from quiverlog.sources.store import GraphStore
 
 
 class Engine:
     """Evaluates programs over a store.
 
-    ``principal`` is the session's principal: if set, ``query`` sees only what it may read. ``small_graphs`` lets recursion over few
-    edges run in memory on the driver.
+    ``principal`` is the session's principal: if set, ``query`` sees only what it may read. Options, all off by default:
+    ``small_graphs`` lets recursion over few edges run in memory on the driver; ``cache_rows`` keeps the edges of a program's predicates on the
+    executors if there are at most so many; ``held_rows`` answers single edge atoms from a snapshot on the driver if the store
+    has at most so many live edges. Results are the same with any of them.
     """
 
-    def __init__(self, store: GraphStore, principal: str | None = None, small_graphs: bool = True):
+    def __init__(self, store: GraphStore, principal: str | None = None, small_graphs: bool = False, cache_rows: int = 0, held_rows: int = 0):
         self.store, self.principal, self.small_graphs = store, principal or None, small_graphs
+        self._cache, self._held = EdgeCache(cache_rows), HeldEdges(held_rows)
 
     def query(self, program: str, columns: Sequence[str] | None = None) -> DataFrame | None:
         return self._run(program, columns, self.principal, True)
@@ -52,20 +58,27 @@ class Engine:
                 raise InvalidParameterError("the query projects no variables")
             if columns is not None and len(columns) != len(program.outputs):
                 raise DatatypeMismatchError(f"{len(columns)} columns are declared, the query projects {len(program.outputs)}")
+        # a call changes all or nothing: it works on a branch, which the store takes over when the answer stands
+        store = self.store.branch()
         if program.assertions:
-            self.store.insert(compile_assertions(program, self.store))
-        if program.query is None:
-            return None
-        if principal:
-            self.store.compact()
-        edges = self.store.live()
-        view = policy_view(edges, principal) if principal else View(edges)
-        return self._answer(program, view, columns)
+            store.insert(compile_assertions(program, store))
+        answer = None if program.query is None else self._answer(program, store, principal, columns)
+        self.store.adopt(store)
+        return answer
 
-    def _answer(self, program: Program, view: View, columns: Sequence[str] | None) -> DataFrame:
+    def _answer(self, program: Program, store: GraphStore, principal: str | None, columns: Sequence[str] | None) -> DataFrame:
         query = program.query
+        rules = program.rules + built_in_rules()
+        if principal:
+            view = policy_view(store.live(), principal)
+        else:
+            if len(query) == 1 and isinstance(query[0], EdgeAtom):
+                held = self._held.answer(store, query[0])
+                if held is not None:
+                    return held.toDF(*(columns or program.outputs))
+            view = View(self._cache.edges(store, plan_predicates(rules, query)))
         if called(query):
-            view = View(view.edges, view.flagged, view.compound_grants, derive(program.rules + built_in_rules(), query, view, self.small_graphs))
+            view = View(view.edges, view.flagged, view.compound_grants, derive(rules, query, view, self.small_graphs))
         frame, names = conjunction(query, view)
         wanted = [names[v] for v in variables(query) if not v.hidden]
         # bindings are a set over all variables; hiding some keeps their number, as the language wants
@@ -76,3 +89,12 @@ class Engine:
         answer = self.query(program, columns)
         answer.createOrReplaceTempView(name)
         return answer
+
+    def project_compound_edges(self, kind: str, rows: DataFrame, role_columns: Mapping[str, str]) -> DataFrame:
+        """cid, role and value of the compound that each row makes; ``role_columns`` (role to column) must name the declared roles of ``kind``.
+
+        A row with a null in one of them makes none. Nothing is asserted.
+        """
+        check_roles(kind, self.store.declared_roles({kind}).get(kind, set()), list(role_columns))
+        edges = compound_edges_column(kind, {role: F.col(f"`{column}`").cast("string") for role, column in role_columns.items()})
+        return rows.select(F.explode(edges).alias("e")).select(F.col("e.subject").alias("cid"), F.col("e.predicate").alias("role"), F.col("e.object").alias("value"))

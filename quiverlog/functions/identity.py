@@ -48,6 +48,6 @@ def compound_edges_column(kind: str, roles: Mapping[str, Column]) -> Column:
 
 def check_roles(kind: str, declared: set[str], given: list[str]) -> None:
     if not declared:
-        raise InvalidParameterError(f"unknown compound type: {kind}")
-    if set(given) != declared or len(set(given)) != len(given):
-        raise InvalidParameterError(f"compound role mismatch for {kind}: expected ({', '.join(sorted(declared))}), got ({', '.join(sorted(given))})")
+        raise InvalidParameterError(f"no roles are declared for {kind}")
+    if sorted(given) != sorted(declared):
+        raise InvalidParameterError(f"{kind} takes each of these roles once: {', '.join(sorted(declared))}; there are: {', '.join(sorted(given))}")

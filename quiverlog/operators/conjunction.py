@@ -44,25 +44,42 @@ def _bind(df: DataFrame, columns: list[tuple[str, Term]], names: dict[Var, str],
 
 
 def _compound(atom: CompoundAtom, names: dict[Var, str], view: View) -> DataFrame:
-    """Self-join of role edges on the subject, constant roles first; under a policy visibility is decided by compound."""
+    """Role edges with one subject, together: constant roles narrow the subjects first, all other roles come from one scan and one shuffle.
+
+    A role with several objects gives a row for each; under a policy visibility is decided by compound.
+    """
     policy = view.flagged is not None
     source = view.flagged if policy else view.edges
     typed = source.filter(F.col("subject").startswith(compound_prefix(atom.kind)))
-    joined, columns, flags = None, [("subject", atom.cid)], []
-    order = sorted(range(len(atom.roles)), key=lambda i: isinstance(atom.roles[i][1], Var))
-    for i in order:
-        role, term = atom.roles[i]
-        part = typed.filter(F.col("predicate") == role)
-        if isinstance(term, Lit):
-            part = part.filter(F.col("object") == term.value)
-        if isinstance(atom.cid, Lit):
-            part = part.filter(F.col("subject") == atom.cid.value)
-        part = part.select("subject", F.col("object").alias(f"r{i}"), *([F.col("seen").alias(f"s{i}")] if policy else []))
+    if isinstance(atom.cid, Lit):
+        typed = typed.filter(F.col("subject") == atom.cid.value)
+    constant = [(i, r, t) for i, (r, t) in enumerate(atom.roles) if isinstance(t, Lit)]
+    free = [(i, r, t) for i, (r, t) in enumerate(atom.roles) if isinstance(t, Var)]
+    columns = [("subject", atom.cid), *((f"r{i}", t) for i, _, t in free)]
+    joined = None
+    for i, role, term in constant:
+        part = typed.filter((F.col("predicate") == role) & (F.col("object") == term.value)).select("subject", *([F.col("seen").alias(f"s{i}")] if policy else []))
+        joined = part if joined is None else joined.join(part, "subject")
+    seen = ["seen"] if policy else []
+    if len(free) == 1:
+        i, role, _ = free[0]
+        part = typed.filter(F.col("predicate") == role).select("subject", F.col("object").alias(f"r{i}"), *(F.col("seen").alias(f"s{i}") for _ in seen))
         joined = part if joined is None else joined.join(part, "subject")
-        columns.append((f"r{i}", term))
-        flags.append(f"s{i}")
+    elif free:
+        wanted = typed.filter(F.col("predicate").isin(sorted({r for _, r, _ in free})))
+        if joined is not None:
+            wanted = wanted.join(joined.select("subject"), "subject", "left_semi")
+        # edges are a set, so a list of a role's objects is one too
+        lists = [F.collect_list(F.when(F.col("predicate") == r, F.struct("object", *seen))).alias(f"l{i}") for i, r, _ in free]
+        together = wanted.groupBy("subject").agg(*lists)
+        for i, _, _ in free:
+            together = together.filter(F.size(f"l{i}") > 0)
+        for i, _, _ in free:
+            together = together.withColumn(f"l{i}", F.explode(f"l{i}"))
+        together = together.select("subject", *(F.col(f"l{i}.object").alias(f"r{i}") for i, _, _ in free), *(F.col(f"l{i}.seen").alias(f"s{i}") for i, _, _ in free for _ in seen))
+        joined = together if joined is None else joined.join(together, "subject")
     if policy:
-        joined = view.compound_grants(atom.kind, joined, flags)
+        joined = view.compound_grants(atom.kind, joined, [f"s{i}" for i in range(len(atom.roles))])
     return _bind(joined, columns, names)
 
 

@@ -1,4 +1,4 @@
-"""Rules to facts: unions, closures by squaring, semi-naive rounds, and an in-memory evaluator for small inputs."""
+"""Rules to facts: unions, closures by squaring, semi-naive rounds, and an optional in-memory evaluator for small inputs."""
 
 from __future__ import annotations
 
@@ -11,11 +11,12 @@ from quiverlog.errors import ProgramLimitError
 from quiverlog.operators.conjunction import View, atom_frame, conjunction, project
 from quiverlog.plans.rules import Closure, Key, base_is_step, called, closure_shape, strata
 from quiverlog.plans.terms import Atom, EdgeAtom, Lit, PredicateAtom, Rule, Var, variables
-from quiverlog.sources.shared import cut, local_table
+from quiverlog.sources.shared import Growing, cut, local_table
 
 #: Fixed limit of the language.
 MOST_ROUNDS = 10_000
-#: Recursion over inputs of at most this many rows runs in memory on the driver, up to so many facts; beyond either, distributed.
+#: With ``small_graphs``, recursion over inputs of at most this many rows runs in memory on the driver, up to so many facts; beyond either, and
+#: without that option, distributed.
 SMALL_INPUT = 50_000
 SMALL_RESULT = 1_000_000
 
@@ -236,14 +237,15 @@ def _compose(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def squared_closure(edges: DataFrame) -> DataFrame:
-    """Transitive closure in a logarithm of the longest path: each round composes all known paths with the newest."""
-    full = delta = cut(edges.distinct(), "paths")
+    """Transitive closure in a logarithm of the longest path: each round composes all known paths with the newest, and writes only new ones."""
+    known = Growing(edges.distinct(), "paths")
+    full = delta = known.frame()
     for _ in range(MOST_ROUNDS):
         fresh = _compose(full, delta).unionByName(_compose(delta, full)).distinct().join(full, ["_0", "_1"], "left_anti")
-        delta = cut(fresh, "paths")
-        if delta.isEmpty():
+        delta = known.add(fresh)
+        if delta is None:
             return full
-        full = cut(full.unionByName(delta), "paths")
+        full = known.frame()
     raise ProgramLimitError(f"recursion did not end within {MOST_ROUNDS} rounds")
 
 
@@ -272,18 +274,16 @@ def reachable(shape: Closure, view: View, start: str, forward: bool) -> DataFram
         base, step = _pairs(base, "_1", "_0"), _pairs(step, "_1", "_0")
     from_start = forward == shape.right or not shape.step or base_is_step(shape)
     step = cut(step.distinct(), "steps")
-    starting = base.filter(F.col("_0") == start).select("_1") if from_start else None
-    if from_start:
-        seen = front = cut(starting.distinct(), "reached")
-    else:  # the closure of the steps from the start comes first, the base last
-        seen = front = cut(step.filter(F.col("_0") == start).select("_1").distinct(), "reached")
+    # otherwise the closure of the steps from the start comes first, the base last
+    seen = Growing((base if from_start else step).filter(F.col("_0") == start).select("_1").distinct(), "reached")
+    front = seen.frame()
     for _ in range(MOST_ROUNDS):
-        front = cut(front.withColumnRenamed("_1", "_0").join(step, "_0").select("_1").distinct().join(seen, "_1", "left_anti"), "reached")
-        if front.isEmpty():
+        front = seen.add(front.withColumnRenamed("_1", "_0").join(step, "_0").select("_1").distinct().join(seen.frame(), "_1", "left_anti"))
+        if front is None:
             break
-        seen = cut(seen.unionByName(front), "reached")
     else:
         raise ProgramLimitError(f"recursion did not end within {MOST_ROUNDS} rounds")
+    seen = seen.frame()
     if not from_start:
         ends = seen.select(F.col("_1").alias("_0")).unionByName(local_table(view.edges.sparkSession, [(start,)], ["_0"])).distinct()
         seen = ends.join(base, "_0").select("_1").distinct()
@@ -292,13 +292,13 @@ def reachable(shape: Closure, view: View, start: str, forward: bool) -> DataFram
 
 
 def semi_naive(keys: list[Key], rules: list[Rule], view: View) -> dict[Key, DataFrame]:
-    """Least fixpoint of a recursive group: each round joins the newest facts of one atom with all facts of the others."""
+    """Least fixpoint of a recursive group: each round joins the newest facts of one atom with all facts of the others, and writes new facts only."""
     spark = view.edges.sparkSession
-    none = {k: _as_facts(spark, [], k[1]) for k in keys}
     seeds = {k: [r for r in rules if r.head.key == k and not any(c in keys for c in called(r.body))] for k in keys}
-    full = {k: cut(plain_facts(seeds[k], view), "facts") if seeds[k] else none[k] for k in keys}
-    delta = dict(full)
+    known = {k: Growing(plain_facts(seeds[k], view) if seeds[k] else _as_facts(spark, [], k[1]), "facts") for k in keys}
+    delta: dict[Key, DataFrame | None] = {k: known[k].frame() for k in keys}
     for _ in range(MOST_ROUNDS):
+        full = {k: known[k].frame() for k in keys}
         now = View(view.edges, view.flagged, view.compound_grants, view.facts | full)
         fresh: dict[Key, list[DataFrame]] = {k: [] for k in keys}
         for rule in rules:
@@ -306,17 +306,13 @@ def semi_naive(keys: list[Key], rules: list[Rule], view: View) -> dict[Key, Data
                 if isinstance(atom, PredicateAtom) and atom.key in keys and delta[atom.key] is not None:
                     frame, names = conjunction(rule.body, now, {i: delta[atom.key]})
                     fresh[rule.head.key].append(project(frame, names, rule.head.terms))
-        delta = {}
-        for k in keys:
-            new = cut(union(fresh[k]).distinct().join(full[k], full[k].columns, "left_anti"), "facts") if fresh[k] else None
-            delta[k] = None if new is None or new.isEmpty() else new
+        delta = {k: known[k].add(union(fresh[k]).distinct().join(full[k], full[k].columns, "left_anti")) if fresh[k] else None for k in keys}
         if not any(d is not None for d in delta.values()):
             return full
-        full = {k: full[k] if delta[k] is None else cut(full[k].unionByName(delta[k]), "facts") for k in keys}
     raise ProgramLimitError(f"recursion did not end within {MOST_ROUNDS} rounds")
 
 
-def derive(rules: tuple[Rule, ...], query: tuple[Atom, ...], view: View, small: bool = True) -> dict[Key, DataFrame]:
+def derive(rules: tuple[Rule, ...], query: tuple[Atom, ...], view: View, small: bool = False) -> dict[Key, DataFrame]:
     """Facts of every predicate that the query needs."""
     facts: dict[Key, DataFrame] = {}
     groups = strata(rules, query)

@@ -40,6 +40,11 @@ def _links(spark: SparkSession, d: str) -> DataFrame:
     return edges(pages.distinct(), node("page", "page_id"), "links_to", F.col("href"))
 
 
+def _buys(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
+    return edges(_distinct(table(spark, d, "orders").join(lines, "o_orderkey"), "o_custkey", "l_suppkey"), node("customer", "o_custkey"), "buys_from", node("supplier", "l_suppkey"))
+
+
 #: name -> (spark, folder) -> edges
 PARTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "customer_nation": lambda s, d: edges(table(s, d, "customer"), node("customer", "c_custkey"), "in_nation", node("nation", "c_nationkey")),
@@ -53,6 +58,7 @@ PARTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "supplies": lambda s, d: edges(_distinct(table(s, d, "lineitem"), "l_suppkey", "l_partkey"), node("supplier", "l_suppkey"), "supplies", node("part", "l_partkey")),
     "part_brand": lambda s, d: edges(table(s, d, "part"), node("part", "p_partkey"), "brand", F.col("p_brand")),
     "user_event": lambda s, d: edges(_distinct(table(s, d, "events"), "user_id", "event_type"), node("user", "user_id"), "did", F.col("event_type")),
+    "buys": _buys,
     "turns": _turns,
     "ring": lambda s, d: edges(table(s, d, "nation"), node("nation", "n_nationkey"), "next", node("nation", (F.col("n_nationkey") + 1) % 25)),
     "links": _links,

@@ -1,19 +1,23 @@
-"""Row normalizers: rows of a table become compounds, kept in step by a ledger of which row supports which edge."""
+"""Row normalizers: rows of a table become compounds, kept in step by a ledger of which row supports which edges."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiverlog.errors import NormalizerError
 from quiverlog.functions.identity import compound_edges_column
+from quiverlog.sources.layers import Layers
 from quiverlog.sources.shared import cut, local_table
-from quiverlog.sources.store import KEYS, GraphStore
+from quiverlog.sources.store import KEYS, GraphStore, newest_version
 
-LEDGER = ["source", "normalizer", "row_key", *KEYS]
+ROW = ["source", "normalizer", "row_key"]
+_EDGES = "array<struct<subject:string,predicate:string,object:string>>"
+LEDGER = f"source string, normalizer string, row_key string, edges {_EDGES}"
+REGISTRATIONS = "source string, name string, kind string, role_columns map<string,string>, key_columns array<string>"
 
 
 @dataclass(frozen=True)
@@ -24,24 +28,37 @@ class Registration:
     role_columns: tuple[tuple[str, str], ...]
     key_columns: tuple[str, ...]
 
-    def bindings(self, rows: DataFrame) -> DataFrame:
-        """Ledger rows of a table's rows; a row with a null in a mapped column has none."""
+    def rows(self, rows: DataFrame) -> DataFrame:
+        """Ledger rows of a table's rows; a row with a null in a mapped column has null edges."""
         roles = {role: F.col(f"`{column}`").cast("string") for role, column in self.role_columns}
         key = F.to_json(F.struct(*(F.col(f"`{c}`") for c in self.key_columns)), {"ignoreNullFields": "false"})
-        each = rows.select(F.lit(self.source).alias("source"), F.lit(self.name).alias("normalizer"), key.alias("row_key"), F.explode(compound_edges_column(self.kind, roles)).alias("e"))
-        return each.select("source", "normalizer", "row_key", "e.*")
+        return rows.select(F.lit(self.source).alias("source"), F.lit(self.name).alias("normalizer"), key.alias("row_key"), compound_edges_column(self.kind, roles).cast(_EDGES).alias("edges"))
+
+
+def _edges(rows: DataFrame, column) -> DataFrame:
+    return rows.select(F.explode(column).alias("e")).select("e.*").distinct()
 
 
 class Normalizers:
-    """Registrations and the ledger over one store."""
+    """Registrations and the ledger over one store. The ledger has one row for each source row, with the edges it supports."""
 
     def __init__(self, store: GraphStore):
         self.store = store
         self.registrations: dict[tuple[str, str], Registration] = {}
-        self.ledger = local_table(store.spark, [], LEDGER)
+        self._layers = Layers(local_table(store.spark, [], [*ROW, "edges"]).select(*ROW, F.lit(None).cast(_EDGES).alias("edges")), ROW, "ledger")
+
+    @property
+    def rows(self) -> DataFrame:
+        """Ledger rows that support edges."""
+        return self._layers.rows().filter("edges is not null")
+
+    @property
+    def ledger(self) -> DataFrame:
+        """One row for each edge that a source row supports."""
+        return self.rows.select(*ROW, F.explode("edges").alias("e")).select(*ROW, "e.*")
 
     def create(self, source: str, rows: DataFrame, name: str, kind: str, role_columns: Mapping[str, str], key_columns: Sequence[str], backfill: bool = True) -> None:
-        """Register ``role_columns`` (role to column) of a table with declared key columns."""
+        """Register ``role_columns`` (role to column) of a table with declared key columns, which tell its rows apart."""
         if not isinstance(role_columns, Mapping):
             raise NormalizerError("role columns must be a mapping of roles to columns")
         if not isinstance(rows, DataFrame):
@@ -61,57 +78,75 @@ class Normalizers:
         registration = Registration(source, name, kind, tuple(sorted(role_columns.items())), tuple(key_columns))
         self.registrations[(source, name)] = registration
         if backfill:
-            self._add(registration.bindings(rows))
+            self._project(registration, rows)
 
     def _known(self, source: str, name: str) -> Registration:
         if (source, name) not in self.registrations:
             raise NormalizerError(f"unknown normalizer {name} on {source}")
         return self.registrations[(source, name)]
 
-    def _add(self, bindings: DataFrame) -> None:
-        new = cut(bindings.distinct().join(self.ledger, LEDGER, "left_anti"), "bindings")
-        self.ledger = cut(self.ledger.unionByName(new), "ledger")
-        self.store.insert(new.select(*KEYS))
+    def _project(self, r: Registration, rows: DataFrame) -> None:
+        """Ledger rows and edges of rows whose keys the ledger does not hold."""
+        fresh = cut(r.rows(rows).filter("edges is not null"), "projected")
+        self._layers.put(fresh)
+        self.store.insert(_edges(fresh, F.col("edges")))
 
-    def _remove(self, gone: DataFrame) -> None:
-        """Take bindings off the ledger; hide the edges that no binding of any normalizer supports any more."""
-        gone = cut(gone, "gone")
-        self.ledger = cut(self.ledger.join(gone, LEDGER, "left_anti"), "ledger")
-        self.store.tombstone(cut(gone.select(*KEYS).distinct().join(self.ledger.select(*KEYS), KEYS, "left_anti"), "orphans"))
+    def _replace(self, r: Registration, change: DataFrame, inserts: bool = True, insert_all: bool = False) -> None:
+        """Give rows new edges (null: none): ``change`` has distinct keys. New edges appear before old ones go.
+
+        The ledger is read for the changed keys only, and once more for the edges that vanish: an edge goes when no row of any
+        normalizer of its compound type supports it any more.
+        """
+        before = self._own(r).join(change.select("row_key"), "row_key", "left_semi").groupBy("row_key").agg(F.flatten(F.collect_list("edges")).alias("old"))
+        moved = change.join(before, "row_key", "left")
+        moved = cut((moved if insert_all else moved.filter(~F.col("edges").eqNullSafe(F.col("old")))).select(*ROW, "edges", "old"), "moved")
+        none = F.array().cast(_EDGES)
+        new, old = F.coalesce("edges", none), F.coalesce("old", none)
+        self._layers.put(moved.select(*ROW, "edges"))
+        if inserts:
+            self.store.insert(_edges(moved, new if insert_all else F.array_except(new, old)))
+        gone = _edges(moved, F.array_except(old, new))
+        kinds = [x.name for x in self.registrations.values() if x.kind == r.kind]
+        held = self.rows.filter(F.col("normalizer").isin(kinds)).select(F.explode("edges").alias("e")).select("e.*")
+        # the ledger streams past the edges that vanish: Spark broadcasts them while they are few
+        self.store.tombstone(gone.join(held.join(gone, KEYS, "left_semi"), KEYS, "left_anti"))
 
     def apply_changes(self, source: str, old: DataFrame | None, new: DataFrame | None) -> None:
-        """Rows before and after: inserts have no old rows, deletes no new ones. New edges appear before old ones go."""
-        for registration in [r for r in self.registrations.values() if r.source == source]:
-            after = None if new is None else cut(registration.bindings(new).distinct(), "after")
-            if after is not None:
-                self._add(after)
+        """Rows before and after: inserts have no old rows, deletes no new ones. Rows are told apart by their keys."""
+        for r in [r for r in self.registrations.values() if r.source == source]:
+            parts = []
             if old is not None:
-                before = registration.bindings(old).distinct()
-                before = before if after is None else before.join(after, LEDGER, "left_anti")
-                self._remove(before.join(self.ledger, LEDGER, "left_semi"))
+                parts.append(r.rows(old).withColumn("edges", F.lit(None).cast(_EDGES)))
+            if new is not None:
+                parts.append(r.rows(new))
+            if parts:
+                change = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+                # max passes over null: the new edges of a row that is in both
+                self._replace(r, change.groupBy(*ROW).agg(F.max("edges").alias("edges")), new is not None)
 
     def rebuild(self, source: str, name: str, rows: DataFrame) -> None:
         """Project all rows anew; brings back edges that were hidden by hand."""
-        registration = self._known(source, name)
-        self._remove(self._own(registration))
-        self._add(registration.bindings(rows))
+        r = self._known(source, name)
+        change = self._own(r).select(*ROW, F.lit(None).cast(_EDGES).alias("edges")).unionByName(r.rows(rows))
+        self._replace(r, change.groupBy(*ROW).agg(F.max("edges").alias("edges")), insert_all=True)
 
     def drop(self, source: str, name: str, purge: bool = True) -> None:
         """Forget a normalizer. Without ``purge`` its edges stay, owned by none."""
-        own = self._own(self._known(source, name))
+        r = self._known(source, name)
+        nothing = cut(self._own(r).select(*ROW, F.lit(None).cast(_EDGES).alias("edges")), "dropped")
         if purge:
-            self._remove(own)
+            self._replace(r, nothing, False)
         else:
-            self.ledger = cut(self.ledger.join(own, LEDGER, "left_anti"), "ledger")
+            self._layers.put(nothing)
         del self.registrations[(source, name)]
 
     def _own(self, r: Registration) -> DataFrame:
-        return self.ledger.filter((F.col("source") == r.source) & (F.col("normalizer") == r.name))
+        return self.rows.filter((F.col("source") == r.source) & (F.col("normalizer") == r.name))
 
     def change_sink(self, source: str) -> Callable[[DataFrame, int], None]:
         """For ``writeStream.foreachBatch``: rows with ``before`` and ``after`` structs, null where there is none.
 
-        A micro-batch holds at most one change of a row; a repeated batch changes nothing more, since the ledger is a set.
+        A micro-batch holds at most one change of a row; a repeated batch changes nothing more, since it gives rows the same edges.
         """
 
         def apply(batch: DataFrame, _: int) -> None:
@@ -119,3 +154,18 @@ class Normalizers:
             self.apply_changes(source, batch.filter("before is not null").select("before.*"), batch.filter("after is not null").select("after.*"))
 
         return apply
+
+    def write(self, version: str) -> None:
+        """Registrations and ledger into a version of a saved store (see ``GraphStore.save``)."""
+        known = [(r.source, r.name, r.kind, dict(r.role_columns), list(r.key_columns)) for r in self.registrations.values()]
+        self.store.spark.createDataFrame(known, REGISTRATIONS).coalesce(1).write.mode("overwrite").parquet(f"{version}/registrations")
+        self.rows.repartitionByRange("source", "normalizer", "row_key").write.mode("overwrite").parquet(f"{version}/ledger")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Normalizers:
+        """The newest version's store and what ``write`` put beside it: after a restart changes go on where they were."""
+        found, version = cls(GraphStore.load(spark, path)), newest_version(spark, path)
+        for r in spark.read.schema(REGISTRATIONS).parquet(f"{version}/registrations").collect():
+            found.registrations[(r["source"], r["name"])] = Registration(r["source"], r["name"], r["kind"], tuple(sorted(r["role_columns"].items())), tuple(r["key_columns"]))
+        found._layers = Layers(spark.read.schema(LEDGER).parquet(f"{version}/ledger"), ROW, "ledger")
+        return found

@@ -1,83 +1,117 @@
 import pytest
 
 from quiverlog import Engine, GraphStore
-from quiverlog.errors import NormalizerError
+from quiverlog.errors import EngineError, NormalizerError
+from quiverlog.sources import layers
 from quiverlog.streaming.normalizer import Normalizers
 
-ROLES = {"actor": "actor_name", "film": "film_title", "role": "role_name"}
-SCHEMA = "id long, actor_name string, role_name string, film_title string"
-QUERY = "FilmPerf@(actor=a, film=f, role=r)?"
+#: Sightings of birds: a place, a kind of bird and a weather; place and kind make the compound.
+ROLES = {"where": "place", "what": "bird"}
+SCHEMA = "no long, place string, bird string, weather string"
+QUERY = "Sighting@(where=p, what=b)?"
+
+
+def rows(df):
+    return sorted(tuple(r) for r in df.collect())
 
 
 @pytest.fixture()
 def setup(spark):
     engine = Engine(GraphStore(spark))
-    engine.query("".join(f'DefCompound("FilmPerf", "{r}", "0", "liquid/string"). ' for r in ROLES))
+    engine.query("".join(f'DefCompound("Sighting", "{r}", "0", "liquid/string"). ' for r in ROLES))
     return engine, Normalizers(engine.store), lambda *r: spark.createDataFrame(list(r), SCHEMA)
 
 
-def test_life_of_a_normalizer(setup):
+@pytest.mark.parametrize("few", [0, 100_000], ids=["rewritten at once", "layered"])
+def test_rows_come_change_and_go(setup, monkeypatch, few):
+    monkeypatch.setattr(layers, "FEW_CHANGES", few)
+    engine, normalizers, table = setup
+    heron, again, wren = (1, "pond", "heron", "rain"), (2, "pond", "heron", "sun"), (3, "hedge", "wren", "sun")
+    normalizers.create("sightings", table(heron, again), "seen", "Sighting", ROLES, ["no"])
+    assert rows(engine.query(QUERY)) == [("pond", "heron")] and normalizers.ledger.count() == 4
+    normalizers.apply_changes("sightings", None, table(wren))
+    assert rows(engine.query(QUERY)) == [("hedge", "wren"), ("pond", "heron")]
+    # one of two rows moves on: the compound stays with the other
+    moved = (1, "weir", "heron", "rain")
+    normalizers.apply_changes("sightings", table(heron), table(moved))
+    assert rows(engine.query(QUERY)) == [("hedge", "wren"), ("pond", "heron"), ("weir", "heron")]
+    normalizers.apply_changes("sightings", table(again), None)
+    assert rows(engine.query(QUERY)) == [("hedge", "wren"), ("weir", "heron")]
+    # a column that no role maps changes nothing, a null in a mapped one takes the compound away
+    normalizers.apply_changes("sightings", table(wren), table((3, "hedge", "wren", "fog")))
+    assert rows(engine.query(QUERY)) == [("hedge", "wren"), ("weir", "heron")]
+    normalizers.apply_changes("sightings", table(moved), table((1, None, "heron", "rain")))
+    assert rows(engine.query(QUERY)) == [("hedge", "wren")] and normalizers.ledger.count() == 2
+    # and an insert and a delete in one batch
+    normalizers.apply_changes("sightings", table((3, "hedge", "wren", "fog")), table((5, "barn", "owl", "dark")))
+    assert rows(engine.query(QUERY)) == [("barn", "owl")]
+
+
+def test_rebuild_brings_back_and_drop_takes_all(setup):
     engine, normalizers, table = setup
-    count = lambda: engine.query(QUERY).count()
-    one, two, three, copy = (1, "Ford", "Solo", "SW"), (2, "Hamill", "Luke", "SW"), (3, "Fisher", "Leia", "SW"), (4, "Fisher", "Leia", "SW")
-    normalizers.create("films", table(one, two), "perf", "FilmPerf", ROLES, ["id"])
-    assert count() == 2
-    normalizers.apply_changes("films", None, table(three))
-    assert count() == 3
-    normalizers.apply_changes("films", None, table(copy))
-    assert count() == 3
-    assert normalizers.ledger.filter("subject like '%Leia%'").count() == 6
-    renamed = (1, "Ford", "Deckard", "SW")
-    normalizers.apply_changes("films", table(one), table(renamed))
-    assert engine.query('FilmPerf@(actor=a, role="Solo")?').count() == 0
-    assert engine.query('FilmPerf@(actor=a, role="Deckard")?').count() == 1
-    gone = (1, "Ford", None, "SW")
-    normalizers.apply_changes("films", table(renamed), table(gone))
-    assert engine.query('FilmPerf@(actor="Ford", role=r)?').count() == 0
-    normalizers.apply_changes("films", table(three), None)
-    assert engine.query('FilmPerf@(role="Leia", actor=a)?').count() == 1
-    normalizers.apply_changes("films", table(copy), None)
-    assert engine.query('FilmPerf@(role="Leia", actor=a)?').count() == 0
-    engine.store.tombstone(engine.store.live().filter("object = 'Luke'"))
-    assert count() == 0
-    normalizers.rebuild("films", "perf", table(gone, two))
-    assert count() == 1
-    normalizers.drop("films", "perf")
-    assert count() == 0 and normalizers.ledger.count() == 0
+    owl, lark = (1, "barn", "owl", "dark"), (2, "field", "lark", "sun")
+    normalizers.create("sightings", table(owl), "seen", "Sighting", ROLES, ["no"], backfill=False)
+    assert engine.query(QUERY).count() == 0
+    normalizers.rebuild("sightings", "seen", table(owl))
+    engine.store.tombstone(engine.store.live().filter("object = 'owl'"))
+    assert rows(engine.query(QUERY)) == []
+    normalizers.rebuild("sightings", "seen", table(owl, lark))
+    assert rows(engine.query(QUERY)) == [("barn", "owl"), ("field", "lark")]
+    normalizers.drop("sightings", "seen")
+    assert rows(engine.query(QUERY)) == [] and normalizers.ledger.count() == 0 and not normalizers.registrations
 
 
 def test_support_of_another_normalizer_and_unowned_edges(setup):
     engine, normalizers, table = setup
-    rows = table((1, "Ford", "Solo", "SW"))
-    for name in ("a", "b"):
-        normalizers.create("films", rows, name, "FilmPerf", ROLES, ["id"])
-    normalizers.drop("films", "a")
+    for source in ("ringed", "heard"):
+        normalizers.create(source, table((1, "reeds", "bittern", "fog")), "seen", "Sighting", ROLES, ["no"])
+    normalizers.drop("ringed", "seen")
     assert engine.query(QUERY).count() == 1
-    normalizers.drop("films", "b", purge=False)
+    normalizers.drop("heard", "seen", purge=False)
     assert engine.query(QUERY).count() == 1 and normalizers.ledger.count() == 0
 
 
+def test_a_restart(setup, spark, tmp_path):
+    engine, normalizers, table = setup
+    first, second = (1, "pond", "heron", "rain"), (2, "pond", "heron", "sun")
+    normalizers.create("sightings", table(first, second), "seen", "Sighting", ROLES, ["no"])
+    engine.store.save(str(tmp_path), normalizers)
+    found = Normalizers.load(spark, str(tmp_path))
+    assert found.registrations == normalizers.registrations and found.ledger.count() == 4
+    found.apply_changes("sightings", table(first), None)
+    assert rows(Engine(found.store).query(QUERY)) == [("pond", "heron")]
+    found.apply_changes("sightings", table(second), None)
+    assert rows(Engine(found.store).query(QUERY)) == []
+    found.store.save(str(tmp_path), found)
+    # a version that was not written to its end does not count
+    (tmp_path / "v00000003" / "records").mkdir(parents=True)
+    assert rows(Engine(Normalizers.load(spark, str(tmp_path)).store).query(QUERY)) == []
+    with pytest.raises(EngineError):
+        GraphStore.load(spark, str(tmp_path / "v00000003"))
+
+
 def test_rejections(setup):
     _, normalizers, table = setup
-    rows = table((1, "Ford", "Solo", "SW"))
-    normalizers.create("films", rows, "perf", "FilmPerf", ROLES, ["id"], backfill=False)
-    for args in (
-        (rows, "n", "FilmPerf", [1], ["id"]), ("films", "n", "FilmPerf", ROLES, ["id"]), (rows, "n", "FilmPerf", ROLES, []), (rows, "n", "Unknown", ROLES, ["id"]),
-        (rows, "n", "FilmPerf", {"actor": "actor_name"}, ["id"]), (rows, "n", "FilmPerf", ROLES | {"actor": "missing"}, ["id"]), (rows, "perf", "FilmPerf", ROLES, ["id"]),
-    ):
+    here = table((1, "pond", "heron", "rain"))
+    normalizers.create("sightings", here, "seen", "Sighting", ROLES, ["no"], backfill=False)
+    refused = {
+        "no mapping": (here, "n", "Sighting", ["where"], ["no"]), "no table": ("sightings", "n", "Sighting", ROLES, ["no"]), "no key": (here, "n", "Sighting", ROLES, []), "no such type": (here, "n", "Nest", ROLES, ["no"]),
+        "a role too few": (here, "n", "Sighting", {"what": "bird"}, ["no"]), "no such column": (here, "n", "Sighting", ROLES | {"what": "egg"}, ["no"]), "a name twice": (here, "seen", "Sighting", ROLES, ["no"]),
+    }
+    for args in refused.values():
         with pytest.raises(NormalizerError):
-            normalizers.create("films", *args)
-    for call in (lambda: normalizers.drop("films", "none"), lambda: normalizers.rebuild("films", "none", rows)):
+            normalizers.create("sightings", *args)
+    for call in (lambda: normalizers.drop("sightings", "none"), lambda: normalizers.rebuild("sightings", "none", here)):
         with pytest.raises(NormalizerError):
             call()
 
 
 def test_change_stream(setup, spark, tmp_path):
     engine, normalizers, table = setup
-    normalizers.create("films", table((1, "Ford", "Solo", "SW")), "perf", "FilmPerf", ROLES, ["id"])
-    kind = f"before struct<{SCHEMA.replace(' ', ':').replace(',:', ',')}>, after struct<{SCHEMA.replace(' ', ':').replace(',:', ',')}>"
-    changes = [((1, "Ford", "Solo", "SW"), (1, "Ford", "Deckard", "BR")), (None, (2, "Hauer", "Batty", "BR"))]
-    spark.createDataFrame(changes, kind).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in")).writeStream.foreachBatch(normalizers.change_sink("films")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    stream.awaitTermination()
-    assert sorted(tuple(r) for r in engine.query(QUERY).collect()) == [("Ford", "BR", "Deckard"), ("Hauer", "BR", "Batty")]
+    normalizers.create("sightings", table((1, "pond", "heron", "rain")), "seen", "Sighting", ROLES, ["no"])
+    struct = f"struct<{SCHEMA.replace(' ', ':').replace(',:', ',')}>"
+    changes = [((1, "pond", "heron", "rain"), (1, "weir", "heron", "rain")), (None, (2, "barn", "owl", "dark"))]
+    spark.createDataFrame(changes, f"before {struct}, after {struct}").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(f"before {struct}, after {struct}").parquet(str(tmp_path / "in")).writeStream.foreachBatch(normalizers.change_sink("sightings"))
+    stream.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert rows(engine.query(QUERY)) == [("barn", "owl"), ("weir", "heron")]
