@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiverlog.errors import DatatypeMismatchError, InvalidParameterError, PrivilegeError
-from quiverlog.functions.identity import check_roles, compound_edges_column
+from quiverlog.functions.identity import check_roles, with_compound_edges
 from quiverlog.operators.assertions import compile_assertions
 from quiverlog.operators.conjunction import View, conjunction
 from quiverlog.operators.fixpoint import derive
@@ -96,5 +96,5 @@ class Engine:
         A row with a null in one of them makes none. Nothing is asserted.
         """
         check_roles(kind, self.store.declared_roles({kind}).get(kind, set()), list(role_columns))
-        edges = compound_edges_column(kind, {role: F.col(f"`{column}`").cast("string") for role, column in role_columns.items()})
-        return rows.select(F.explode(edges).alias("e")).select(F.col("e.subject").alias("cid"), F.col("e.predicate").alias("role"), F.col("e.object").alias("value"))
+        found = with_compound_edges(rows, kind, {role: F.col(f"`{column}`").cast("string") for role, column in role_columns.items()}, [])
+        return found.select(F.explode("edges").alias("e")).select(F.col("e.subject").alias("cid"), F.col("e.predicate").alias("role"), F.col("e.object").alias("value"))

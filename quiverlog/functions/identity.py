@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quiverlog.errors import InvalidParameterError
@@ -39,11 +39,15 @@ def compound_prefix(kind: str) -> str:
     return f"{kind}@("
 
 
-def compound_edges_column(kind: str, roles: Mapping[str, Column]) -> Column:
-    """array<struct<subject, predicate, object>> of a row's compound; null where a role is null."""
-    cid = compound_identity_column(kind, roles)
-    edges = F.array(*(F.struct(cid.alias("subject"), F.lit(r).alias("predicate"), roles[r].cast("string").alias("object")) for r in sorted(roles, key=str.encode)))
-    return F.when(cid.isNotNull(), edges)
+def with_compound_edges(rows: DataFrame, kind: str, roles: Mapping[str, Column], keep: list[Column]) -> DataFrame:
+    """``keep`` and ``edges``, array<struct<subject, predicate, object>> of a row's compound; null where a role is null.
+
+    The identity is made once for each row, in a projection of its own.
+    """
+    names = sorted(roles, key=str.encode)
+    own = rows.select(*keep, compound_identity_column(kind, roles).alias("_cid"), *(roles[r].cast("string").alias(f"_role{i}") for i, r in enumerate(names)))
+    edges = F.array(*(F.struct(F.col("_cid").alias("subject"), F.lit(r).alias("predicate"), F.col(f"_role{i}").alias("object")) for i, r in enumerate(names)))
+    return own.select(*own.columns[: len(keep)], F.when(F.col("_cid").isNotNull(), edges).alias("edges"))
 
 
 def check_roles(kind: str, declared: set[str], given: list[str]) -> None:

@@ -19,7 +19,7 @@ class EdgeCache:
 
     def __init__(self, most_rows: int):
         self.most_rows = most_rows
-        self._state: tuple | None = None
+        self._state: object | None = None
         self._kept: dict[frozenset[str], DataFrame] = {}
 
     def edges(self, store: GraphStore, predicates: frozenset[str] | None) -> DataFrame:
@@ -27,10 +27,9 @@ class EdgeCache:
         live = store.live()
         if not self.most_rows or predicates is None or len(predicates) > MOST_PREDICATES:
             return live
-        state = (store._layers.base, store.version)
-        if self._state is None or self._state[0] is not state[0] or self._state[1] != state[1]:
+        if self._state is not store.version:
             self.clear()
-            self._state = state
+            self._state = store.version
         if predicates not in self._kept:
             found = live.filter(F.col("predicate").isin(sorted(predicates))) if predicates else live.limit(0)
             if found.limit(self.most_rows + 1).count() <= self.most_rows:
@@ -49,15 +48,14 @@ class HeldEdges:
 
     def __init__(self, most_rows: int):
         self.most_rows = most_rows
-        self._state: tuple | None = None
+        self._state: object | None = None
         self._index: dict[tuple[int, str], list[tuple]] | None = None
         self._rows: list[tuple] = []
 
     def _refresh(self, store: GraphStore) -> None:
-        state = (store._layers.base, store.version)
-        if self._state is not None and self._state[0] is state[0] and self._state[1] == state[1]:
+        if self._state is store.version:
             return
-        self._state, self._index = state, None
+        self._state, self._index = store.version, None
         rows = store.live().limit(self.most_rows + 1).collect()
         if len(rows) <= self.most_rows:
             self._rows, self._index = [tuple(r) for r in rows], {}

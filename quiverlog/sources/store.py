@@ -84,7 +84,9 @@ class GraphStore:
         return edges.select(*KEYS, F.lit(deleted).alias("is_deleted"), F.lit(tx).cast("long").alias("tx_id"))
 
     def _begin(self, spark: SparkSession, records: DataFrame, tx: int) -> None:
-        self.spark, self.tx, self.version = spark, tx, 0
+        self.spark, self.tx = spark, tx
+        #: a new object after each change: what was derived from the edges before it is out of date
+        self.version = object()
         self._layers = Layers(records, KEYS, "records")
         self._held: dict[tuple[str, str, str], tuple[bool, int]] = {}
         self._records: DataFrame | None = None
@@ -124,7 +126,7 @@ class GraphStore:
         return self._live
 
     def _changed(self) -> None:
-        self.version += 1
+        self.version = object()
         self._records = self._live = None
 
     def _put(self, fresh: DataFrame) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiverlog.errors import NormalizerError
-from quiverlog.functions.identity import compound_edges_column
+from quiverlog.functions.identity import with_compound_edges
 from quiverlog.sources.layers import Layers
 from quiverlog.sources.shared import cut, local_table
 from quiverlog.sources.store import KEYS, GraphStore, newest_version
@@ -32,7 +32,8 @@ class Registration:
         """Ledger rows of a table's rows; a row with a null in a mapped column has null edges."""
         roles = {role: F.col(f"`{column}`").cast("string") for role, column in self.role_columns}
         key = F.to_json(F.struct(*(F.col(f"`{c}`") for c in self.key_columns)), {"ignoreNullFields": "false"})
-        return rows.select(F.lit(self.source).alias("source"), F.lit(self.name).alias("normalizer"), key.alias("row_key"), compound_edges_column(self.kind, roles).cast(_EDGES).alias("edges"))
+        own = with_compound_edges(rows, self.kind, roles, [F.lit(self.source).alias("source"), F.lit(self.name).alias("normalizer"), key.alias("row_key")])
+        return own.withColumn("edges", F.col("edges").cast(_EDGES))
 
 
 def _edges(rows: DataFrame, column) -> DataFrame:
