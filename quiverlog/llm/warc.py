@@ -110,31 +110,37 @@ def rebuild(head: bytes, payload: bytes) -> bytes:
     return head + (b"" if b"\r\nWARC-Type: revisit\r\n" in head[:64] else payload) + b"\r\n\r\n"
 
 
-def _unpacked(batch: pa.RecordBatch, opener: zstandard.ZstdDecompressor) -> Iterator[tuple[bytes, bytes]]:
-    heads, digests, packs = (batch.column(k) for k in range(3))
-    for i in range(batch.num_rows):
-        if not packs[i].is_valid:
-            raise ValueError("a record's payload is not in the archive")
-        payload = opener.decompress(packs[i].as_py())
-        if hashlib.sha256(payload).digest() != digests[i].as_py():
-            raise ValueError("a stored payload does not match its digest")
-        yield heads[i].as_py(), payload
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bytes, bytes]]]:
+    """Head and verified payload of each row. Rows come sorted by digest from the join, so the copies of a payload unpack it once."""
+    opener, known, payload = zstandard.ZstdDecompressor(), None, b""
+    for batch in batches:
+        heads, digests, packs = (batch.column(k) for k in range(3))
+        rows = []
+        for i in range(batch.num_rows):
+            digest = digests[i].as_py()
+            if digest != known:
+                if not packs[i].is_valid:
+                    raise ValueError("a record's payload is not in the archive")
+                payload = opener.decompress(packs[i].as_py())
+                if hashlib.sha256(payload).digest() != digest:
+                    raise ValueError("a stored payload does not match its digest")
+                known = digest
+            rows.append((heads[i].as_py(), payload))
+        yield rows
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    opener = zstandard.ZstdDecompressor()
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
     names = [x.split()[0] for x in PARSED.split(", ")]
-    for batch in batches:
-        rows = [parse_record(rebuild(head, payload), payload) for head, payload in _unpacked(batch, opener)]
+    for found in _unpacked(batches):
+        rows = [parse_record(rebuild(head, payload), payload) for head, payload in found]
         columns = list(zip(*rows)) if rows else [()] * len(kinds)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    opener = zstandard.ZstdDecompressor()
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array((rebuild(*x) for x in _unpacked(batch, opener)), pa.binary())], names=["record"])
+    for found in _unpacked(batches):
+        yield pa.RecordBatch.from_arrays([pa.array((rebuild(*x) for x in found), pa.binary())], names=["record"])
 
 
 def _joined(spark: SparkSession, path: str) -> DataFrame:
