@@ -6,21 +6,26 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_scopes: list[list[str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is made and removed at exit.
+    Only where the session names none and all runs on one machine (tests) a temporary folder is made and removed at exit.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "root" not in _own:
         _own["root"] = tempfile.mkdtemp(prefix="quiverlog-")
         atexit.register(shutil.rmtree, _own["root"], True)
@@ -28,15 +33,34 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_root(spark)}/quiverlog/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/quiverlog/{tag}-{uuid.uuid4().hex}"
+    for made in _scopes[-1:]:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables made inside are removed at the end: what is read afterwards must have been written to a path made outside."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        for path in made:
+            drop_path(spark, path)
 
 
 def stored(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = fresh_path(spark, tag)
+    return written(df, fresh_path(spark, tag), compression)
+
+
+def written(df: DataFrame, path: str, compression: str = "zstd") -> DataFrame:
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -231,9 +231,14 @@ def test_shards_of_ties_and_nothing(spark):
 
 
 def test_written_shards(spark, tmp_path):
-    docs = documents(spark, [(i, prose(i, 20)) for i in range(30)])
-    sharding.write_shards(docs, sharding.shard_by_bytes(docs, n_shards=4), str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s")).count() == 30
+    """Every row once, also with null and repeated ids, repeated rows and a column of the shard's name."""
+    texts = odd_texts() * 2 + [(100 + i, prose(i, 20)) for i in range(30)]
+    docs = documents(spark, texts).withColumnRenamed("source", "shard")
+    sharding.write_shards(docs, str(tmp_path / "s"), n_shards=4)
+    found = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(map(tuple, found.select(*docs.columns).collect()), key=repr) == sorted(map(tuple, docs.collect()), key=repr)
+    own = next(c for c in found.columns if c.startswith("shard_"))
+    assert found.select(own, "slot").distinct().count() == len(texts)
 
 
 # --- quality ---
