@@ -58,6 +58,32 @@ def test_contamination_equals_brute_force(spark, monkeypatch):
     assert found() == brute_contamination(docs, items)
     monkeypatch.setattr(decontaminate, "GRAMS_PER_BROADCAST", 7)
     assert found() == brute_contamination(docs, items)
+    monkeypatch.setattr(decontaminate, "LONG_GRAM", 20)
+    monkeypatch.setattr(decontaminate, "ROWS_TO_BROADCAST", 0)
+    assert found() == brute_contamination(docs, items)
+
+
+def test_lines_that_all_items_share(spark):
+    line = " ".join(words(70, 16))
+    items = [(i, f"{line} {prose(100 + i, 14)}" if i % 3 else line) for i in range(90)] + [(None, line)]
+    docs = [(i, f"{prose(300 + i, 9)} {line}") for i in range(40)] + [(50, items[1][1]), (51, items[2][1] + " x " + items[1][1]), (52, prose(52, 30)), (53, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    grams = decontaminate.grams_of(decontaminate.benchmark_windows(bench))
+    assert max(len(r["item_list"]) for r in grams.collect()) < 64  # no item ids in what is broadcast
+    assert rows(decontaminate.contamination(documents(spark, docs), bench).drop("key_a", "key_b")) == brute_contamination(docs, items)
+
+
+def test_keepers_without_broadcasts(spark, monkeypatch):
+    docs, items = contamination_case()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    table = documents(spark, docs + docs)
+    kept = rows(decontaminate.remove_contaminated(table, bench))
+    monkeypatch.setattr(decontaminate, "ROWS_TO_BROADCAST", 0)
+    assert rows(decontaminate.remove_contaminated(table, bench)) == kept
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert rows(decontaminate.remove_contaminated(table, none)) == rows(table)
+    assert rows(decontaminate.remove_spans(table, none)) == rows(table.select("doc_id", "text"))
+    assert rows(decontaminate.remove_spans(documents(spark, []), bench)) == []
 
 
 def test_contaminated_documents_and_spans_go(spark):
