@@ -96,3 +96,12 @@ def documents_of(spark: SparkSession, sf_dir: str, table: str = "documents") ->
 
 def text_bytes(column) -> "F.Column":
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
+
+
+def text_keys(text: F.Column) -> list[F.Column]:
+    """key_a and key_b, two 64-bit hashes that stand for a text; null is the empty text.
+
+    The number comes first: hashed behind the text it would only mix the text's one 64-bit hash once more, in both alike.
+    """
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return [F.xxhash64(F.lit(1), text).alias("key_a"), F.xxhash64(F.lit(2), text).alias("key_b")]

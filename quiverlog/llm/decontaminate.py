@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiverlog.llm.common import own_name, stored
+from quiverlog.llm.common import own_name, stored, text_keys
 
 #: Fixed values of the contamination rule.
 SIZE = 13
@@ -32,12 +32,6 @@ def lowered(words: F.Column) -> F.Column:
     return F.translate(F.array_join(words, " "), UPPER, LOWER)
 
 
-def text_keys(text: F.Column) -> tuple[F.Column, F.Column]:
-    """128 bits that stand for a text; null is as empty."""
-    whole = F.coalesce(text.cast("string"), F.lit(""))
-    return F.xxhash64(F.lit(1), whole), F.xxhash64(F.lit(2), whole)
-
-
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """Distinct windows of ``benchmark`` (item_id, text) by item: size, gram (its lowered words), item.
 
@@ -80,8 +74,7 @@ def find_hits(docs: DataFrame, grams: DataFrame) -> DataFrame:
     n_grams = grams.count()
     blocks = max(1, -(-n_grams // GRAMS_PER_BROADCAST))
 
-    key_a, key_b = text_keys(F.col("text"))
-    tokens = docs.select(F.col("doc_id"), key_a.alias("key_a"), key_b.alias("key_b"), words_of(F.col("text")).alias("words"))
+    tokens = docs.select(F.col("doc_id"), *text_keys(F.col("text")), words_of(F.col("text")).alias("words"))
 
     def keys(low: F.Column, size: int) -> F.Column:
         windows = F.transform(F.sequence(F.lit(1), F.size(low) - size + 1), lambda i: F.xxhash64(F.slice(low, i, size), F.lit(size)))

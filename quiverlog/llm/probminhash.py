@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiverlog.llm.common import modest_batches, own_name, stored
+from quiverlog.llm.common import modest_batches, own_name, stored, text_keys
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -158,12 +158,6 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float((p[both] / (below[last - 1] + rest / ratio[both])).sum())
 
 
-def text_keys(text: F.Column) -> list[F.Column]:
-    """Two 64-bit hashes that stand for a text; null is the empty text."""
-    text = F.coalesce(text.cast("string"), F.lit(""))
-    return [F.xxhash64(text, F.lit(1)).alias("key_a"), F.xxhash64(text, F.lit(2)).alias("key_b")]
-
-
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, held, rows, size = batch.column(4), [], [], 0

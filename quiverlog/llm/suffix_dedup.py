@@ -11,8 +11,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiverlog.llm.common import modest_batches, own_name, partitions_for, stored
-from quiverlog.llm.probminhash import _BASE, _VALUES, _power_tables, mix, text_keys
+from quiverlog.llm.common import modest_batches, own_name, partitions_for, stored, text_keys
+from quiverlog.llm.probminhash import _BASE, _VALUES, _power_tables, mix
 
 LENGTH = 200
 #: Bytes of an anchor. Every string of LENGTH bytes holds LENGTH - GRAM + 1 grams; the one of least hash is its anchor.

@@ -245,3 +245,27 @@ def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 103)], "a long, b long")
     found = {r["node"]: r["label"] for r in probminhash.components(links).collect()}
     assert found == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 103: 100}
+
+
+def colliding_texts():
+    """Two texts of 16 letters and signs with the same xxhash64: the second word is solved for."""
+    full, one, two, four = (1 << 64) - 1, 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x85EBCA77C2B2AE63
+    turn = lambda x, n: (x << n | x >> 64 - n) & full
+    mixed = lambda x: turn(x * two & full, 31) * one & full
+    solved = lambda y: turn(y * pow(one, -1, 1 << 64) & full, 33) * pow(two, -1, 1 << 64) & full
+    after = lambda t: (turn((42 + 0x27D4EB2F165667C5 + 16 & full) ^ mixed(int.from_bytes(t, "little")), 27) * one + four) & full
+    head, tail = b"abcdefgh", b"ijklmnop"
+    target = after(head) ^ mixed(int.from_bytes(tail, "little"))
+    for k in range(10**6):
+        other = b"%08d" % k
+        rest = solved(target ^ after(other)).to_bytes(8, "little")
+        if all(0x21 <= c <= 0x7E for c in rest):
+            return (head + tail).decode(), (other + rest).decode()
+
+
+def test_texts_of_equal_hash_stay_apart(spark):
+    a, b = colliding_texts()
+    docs = documents(spark, [(1, a), (2, b), (3, a)])
+    assert docs.filter("doc_id < 3").selectExpr("xxhash64(text) as h").distinct().count() == 1
+    assert {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 1}
+    assert {r["doc_id"] for r in probminhash.keep_one_of_each(docs).collect()} == {1, 2}
