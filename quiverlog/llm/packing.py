@@ -15,11 +15,12 @@ from quiverlog.llm.common import modest_batches, partitions_for, stored
 from quiverlog.llm.encoding import encoder_of
 
 CAPACITY = 2048
+#: Pieces that wait for each gap before short ones are bundled.
+PER_GAP = 3
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RESULT = PIECES + ", sequence_id long, offset long"
 _NAMES = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
-
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -48,100 +49,176 @@ def cut_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CA
     return docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").mapInArrow(run, PIECES)
 
 
-def match_rounds(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
-    """Rounds of best fit over classes of equal pieces and equal gaps.
+def partners(is_gap: np.ndarray) -> np.ndarray:
+    """For rows in sweep order, by falling size and gaps before pieces of their size: the row that each is matched with, -1 where none.
 
-    A class of pieces is (length, ranks from-to), a class of gaps (size, sequence numbers from-to); there are at most
-    ``capacity`` lengths and sizes, whatever the corpus holds. One round is a sweep from the largest size down: a piece's
-    successor, the smallest free gap that holds it, is the one last passed. Where many pieces want the same gaps, ranks
-    decide: the lowest rank takes the lowest sequence number, the rest go to the next larger gaps. Each gap takes
-    one piece a round, then shrinks. When no piece fits any gap, as many sequences as the rest needs at least are opened with the
-    longest pieces. Returns rows (length, first rank, how many, first sequence, offset) and the number of sequences.
+    A piece's successor, the smallest free gap that holds it, is the last gap passed that no piece between took, so gaps and pieces
+    match as brackets do: in a level of nesting every gap is closed by the next piece. Of pieces of one size the first in rank chooses first.
     """
-    left = {n: [0, c] for n, c in sorted(counts.items(), reverse=True) if c}
-    gaps: list[tuple[int, int, int]] = []
-    placed: list[tuple[int, int, int, int, int]] = []
-    opened = 0
-    while left:
-        fits = []
-        stack: list[list[int]] = []
-        waiting = sorted(gaps)
-        changed: list[tuple[int, int, int]] = []
-        for length in list(left):
-            while waiting and waiting[-1][0] >= length:
-                stack.append(list(waiting.pop()))
-            rank, n = left[length]
-            while n and stack:
-                size, first, many = stack[-1]
-                k = min(n, many)
-                fits.append((length, rank, k, first, capacity - size))
-                if size > length:
-                    changed.append((size - length, first, k))
-                rank, n = rank + k, n - k
-                if k == many:
-                    stack.pop()
-                else:
-                    stack[-1] = [size, first + k, many - k]
-            left[length] = [rank, n]
-        left = {a: b for a, b in left.items() if b[1]}
-        gaps = changed + [tuple(x) for x in stack] + waiting
-        placed += fits
-        if left and not fits:
-            need = max(-(-sum(a * b[1] for a, b in left.items()) // capacity), sum(b[1] for a, b in left.items() if 2 * a > capacity))
-            for length in list(left):
-                rank, n = left[length]
-                k = min(n, need)
-                placed.append((length, rank, k, opened, 0))
-                if length < capacity:
-                    gaps.append((capacity - length, opened, k))
-                opened, need, left[length] = opened + k, need - k, [rank + k, n - k]
-                if not need:
-                    break
-            left = {a: b for a, b in left.items() if b[1]}
-    return np.array(sorted(placed), np.int64).reshape(-1, 5), opened
+    level = np.cumsum(np.where(is_gap, 1, -1)) + ~is_gap
+    order = np.argsort(level, kind="stable")
+    one, two = order[:-1], order[1:]
+    pair = (level[one] == level[two]) & is_gap[one] & ~is_gap[two]
+    found = np.full(len(is_gap), -1)
+    found[two[pair]], found[one[pair]] = one[pair], two[pair]
+    return found
 
 
-def best_fit(pieces: DataFrame, capacity: int = CAPACITY, rows_per_range: int = 250_000) -> DataFrame:
-    """Give every row of ``pieces`` (doc_id, piece, start, length, ids_crc32) its sequence_id and offset.
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One range of sorted gaps and pieces (size, piece, number): matched rows, then what is left with its ordinal.
 
-    Pieces are range-sorted by length and ranked within their length across ranges (a hot length spans several ranges:
-    ranks inside a range plus the totals of the ranges before). Lengths are matched to gaps in rounds (``match_rounds``),
-    and each piece finds its place by its rank. Only class totals, at most ``capacity`` rows, reach the driver.
+    Pieces are counted from the range's first, gaps from its last: the order in which ranges further on can use them.
     """
-    kept = stored(pieces, "pieces")
-    order = [F.col("length").desc(), F.col("doc_id").asc_nulls_first(), F.col("piece"), F.col("ids_crc32")]
-    ranges = partitions_for(pieces, kept.count(), rows_per_range)
-
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, last, n = TaskContext.get().partitionId(), -1, 0
-        for batch in batches:
-            lengths = batch.column(3).to_numpy()
-            if not len(lengths):
-                continue
-            starts = np.flatnonzero(np.r_[True, lengths[1:] != lengths[:-1]])
-            run = np.arange(len(lengths)) - np.repeat(starts, np.diff(np.r_[starts, len(lengths)]))
-            first = lengths == lengths[0]
-            run[: int(first.sum())] += n if lengths[0] == last else 0
-            last, n = int(lengths[-1]), int(run[-1]) + 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(run), number), pa.int32()), pa.array(run, pa.int64())], names=[*_NAMES[:5], "range_no", "rank"])
-
-    ranked = stored(kept.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(rank, PIECES + ", range_no int, rank long"), "ranked")
-    totals = ranked.groupBy("length", "range_no").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("length").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    # sorted ranges share only their edge lengths: at most `capacity` + `ranges` rows
-    offsets = totals.select("length", "range_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rank_before"))
-    counts = {r["length"]: r["n"] for r in ranked.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan, _ = match_rounds(counts, capacity)
-    keys = plan[:, 0] << 44 | plan[:, 1]
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    size, is_piece, number = (table.column(k).to_numpy() for k in range(3))
+    is_gap = is_piece == 0
+    other = partners(is_gap)
+    taken = np.flatnonzero(~is_gap & (other >= 0))
+    pieces, gaps = np.flatnonzero(~is_gap & (other < 0)), np.flatnonzero(is_gap & (other < 0))[::-1]
+    none = lambda n: pa.nulls(n, pa.int64())
+    parts = [
+        (pa.array(number[taken]), pa.array(size[taken]), pa.array(number[other[taken]]), pa.array(size[other[taken]]), np.zeros(len(taken), np.int64)),
+        (pa.array(number[pieces]), pa.array(size[pieces]), none(len(pieces)), none(len(pieces)), np.arange(len(pieces))),
+        (none(len(gaps)), none(len(gaps)), pa.array(number[gaps]), pa.array(size[gaps]), np.arange(len(gaps))),
+    ]
+    at = TaskContext.get().partitionId()
+    for *columns, ordinal in parts:
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(ordinal), at)), pa.array(ordinal)], names=["id", "length", "seq", "size", "range_no", "ordinal"])
+
+
+def meet_ranges(left: list[tuple[int, int, int]]) -> np.ndarray:
+    """Which pieces left in a range take which gaps left in ranges before it, from ``left`` (range, pieces, gaps) in order.
+
+    The nearest range's gaps, from its last on, are the smallest that hold a piece. Rows (range of the pieces, first piece, range of the
+    gaps, first gap, how many): at most two for each range.
+    """
+    free: list[list[int]] = []
+    rows = []
+    for at, pieces, gaps in left:
+        done = 0
+        while done < pieces and free:
+            other, first, many = free[-1]
+            k = min(pieces - done, many)
+            rows.append((at, done, other, first, k))
+            done += k
+            if k == many:
+                free.pop()
+            else:
+                free[-1] = [other, first + k, many - k]
+        if gaps:
+            free.append([at, 0, gaps])
+    return np.array(rows, np.int64).reshape(-1, 5)
+
+
+def _matched(left: DataFrame, plan: np.ndarray, side: int) -> DataFrame:
+    """``left`` (pieces: side 0, gaps: side 2) with the number of the match that ``plan`` gives each row; others have numbers of their own below 0."""
+    names = [*left.columns[:2], "match"]
+    first = np.r_[0, np.cumsum(plan[:, 4])[:-1]]
+    keys = plan[:, side] << 40 | plan[:, side + 1]
+    order = np.argsort(keys)
+    keys, first, many = keys[order], first[order], plan[order, 4]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(5).to_numpy()
-            row = plan[np.searchsorted(keys, batch.column(3).to_numpy() << 44 | at, side="right") - 1]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(row[:, 3] + at - row[:, 1]), pa.array(row[:, 4])], names=_NAMES)
+            key = batch.column(2).to_numpy() << 40 | batch.column(3).to_numpy()
+            row = np.maximum(np.searchsorted(keys, key, side="right") - 1, 0)
+            into = key - keys[row]
+            match = np.where((into >= 0) & (into < many[row]), first[row] + into, -1 - side - 4 * key)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(match)], names=names)
+
+    return left.mapInArrow(number, ", ".join(f"{name} long" for name in names))
+
+
+def _bits() -> F.Column:
+    """Binary digits of the length: pieces of one class differ by less than a factor of two."""
+    return F.length(F.bin("length"))
+
 
-    joined = ranked.join(F.broadcast(offsets), ["length", "range_no"])
-    return joined.select(*_NAMES[:5], (F.col("rank") + F.col("rank_before")).alias("rank")).mapInArrow(place, RESULT)
+def _census(left: DataFrame, gaps: DataFrame | None, capacity: int) -> tuple[dict[int, int], int, int, int, int]:
+    """Pieces by the bits of their length, tokens, pieces over half a sequence, the least length, and how many gaps hold that."""
+    rows = left.groupBy(_bits().alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("tokens"), F.count(F.when(2 * F.col("length") > capacity, 1)).alias("large"), F.min("length").alias("least"))
+    if gaps is not None:  # at most as many rows as there are sizes
+        rows = rows.unionAll(gaps.groupBy((-F.col("size")).alias("kind")).agg(F.count(F.lit(1)), F.lit(0), F.lit(0), F.lit(0)))
+    found = rows.collect()
+    pieces = [r for r in found if r["kind"] > 0]
+    least = min((r["least"] for r in pieces), default=capacity)
+    return {r["kind"]: r["n"] for r in pieces}, sum(r["tokens"] for r in pieces), sum(r["large"] for r in pieces), least, sum(r["n"] for r in found if -r["kind"] >= least)
+
+
+def _bundled(left: DataFrame, buckets: dict[int, int]) -> DataFrame:
+    """Rows (member, own, bundle, at) of the pieces of ``left`` (id, length) whose bits ``buckets`` names, dealt by hash into so many bundles.
+
+    Bits 0 stand for all. A bundle is named for its smallest member, its length is the sum; ``at`` is a member's place in it.
+    """
+    bits = F.lit(0) if 0 in buckets else _bits()
+    into = F.create_map(*(F.lit(x) for pair in buckets.items() for x in pair))[bits]
+    dealt = left.filter(bits.isin(list(buckets))).select("id", "length", bits.alias("bits"), F.pmod(F.xxhash64("id", F.lit(3)), into).alias("dealt"))
+    bundle = Window.partitionBy("bits", "dealt")
+    before = bundle.orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.select(F.col("id").alias("member"), F.col("length").alias("own"), F.min("id").over(bundle).alias("bundle"), F.coalesce(F.sum("length").over(before), F.lit(0)).alias("at"))
+
+
+def best_fit(pieces: DataFrame, capacity: int = CAPACITY, rows_per_range: int = 250_000) -> DataFrame:
+    """Give every row of ``pieces`` (doc_id, piece, start, length, ids_crc32) its sequence_id and offset.
+
+    Gaps and pieces are tables of one row each. A round range-sorts both by size (equal sizes by number, so a hot length spans several
+    ranges) and sweeps all ranges at once: each piece finds its successor, the smallest free gap that holds it, and where many want
+    one, ranks decide. What a range leaves over is matched with the ranges before it by counts, two numbers for each range on the
+    driver, and a join of single matches. Each gap takes one piece, shrinks, and goes on to the next round; gaps smaller than every
+    piece left go. When no gap holds a piece, as many sequences are opened as the rest needs at least. Where over ``PER_GAP`` pieces
+    wait for each gap, the short ones enter in bundles of about a gap's share, made of pieces of like length and dealt anew
+    each round, so the rounds don't grow with the number of short pieces. A rest that one sequence holds is one bundle.
+    Every round writes its state to the shared folder. An empty table gives no rows.
+    """
+    spark = pieces.sparkSession
+    kept = stored(pieces.withColumn("id", F.monotonically_increasing_id()), "pieces")
+    left, gaps, places = kept.select("id", "length"), None, None
+    counts, tokens, large, least, free = _census(left, None, capacity)
+    opened = target = 0
+    while counts:
+        waiting = sum(counts.values())
+        if not free or tokens <= capacity:
+            free = max(-(-tokens // capacity), large)
+            gaps = spark.range(opened, opened + free).select(F.lit(capacity).cast("long").alias("size"), F.col("id").alias("seq"))
+            opened += free
+            target = tokens // (PER_GAP * free)
+        buckets = {0: 1} if tokens <= capacity else {b: -(-n // (target >> b)) for b, n in counts.items() if target >> b > 1}
+        entering = left.select("length", "id")
+        if buckets:
+            members = stored(_bundled(left, buckets), "bundles")
+            single = entering.filter(F.lit(False) if 0 in buckets else ~_bits().isin(list(buckets)))
+            entering = single.unionAll(members.groupBy("bundle").agg(F.sum("own").alias("length")).select("length", "bundle"))
+        rows = gaps.select("size", F.lit(0).alias("piece"), F.col("seq").alias("number")).unionAll(entering.select("length", F.lit(1), "id"))
+        ranges = partitions_for(pieces, waiting + free, rows_per_range)
+        order = [F.col("size").desc(), F.col("piece"), F.col("number")]
+        state = stored(rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(_sweep, "id long, length long, seq long, size long, range_no long, ordinal long"), "sweep")
+        matched = F.col("id").isNotNull() & F.col("seq").isNotNull()
+        over = state.groupBy("range_no").agg(F.count(F.when(matched, 1)).alias("both"), F.count(F.when(F.col("seq").isNull(), 1)).alias("pieces"), F.count(F.when(F.col("id").isNull(), 1)).alias("gaps")).collect()
+        plan = meet_ranges(sorted((r["range_no"], r["pieces"], r["gaps"]) for r in over))
+        if len(plan):
+            one = _matched(state.filter("seq is null").select("id", "length", "range_no", "ordinal"), plan, 0)
+            two = _matched(state.filter("id is null").select("seq", "size", "range_no", "ordinal"), plan, 2)
+            met = one.repartition(ranges, "match").join(two.repartition(ranges, "match"), "match", "full_outer").select("id", "length", "seq", "size")
+            state = stored(state.filter(matched).select("id", "length", "seq", "size").unionAll(met), "round")
+        here, left = state.filter(matched).select("id", "seq", (capacity - F.col("size")).alias("offset")), state.filter("seq is null").select("id", "length")
+        if buckets:
+            unbundled = lambda some: some.join(members, F.col("id") == F.col("bundle"), "left")
+            here = unbundled(here).select(F.coalesce("member", "id").alias("id"), "seq", (F.col("offset") + F.coalesce("at", F.lit(0))).alias("offset"))
+            left = stored(unbundled(left).select(F.coalesce("member", "id").alias("id"), F.coalesce("own", "length").alias("length")), "left")
+        places = here if places is None else places.unionAll(here)
+        gaps = state.filter("seq is not null").select((F.col("size") - F.coalesce("length", F.lit(0))).alias("size"), "seq")
+        counts, tokens, large, least, free = _census(left, gaps, capacity)
+        gaps = gaps.filter(F.col("size") >= least)
+        if not len(plan) and not any(r["both"] for r in over):
+            target //= 4
+        else:
+            target = min(capacity, tokens // (PER_GAP * free)) if sum(counts.values()) > PER_GAP * free > 0 else 0
+    if places is None:
+        places = left.selectExpr("id", "cast(null as long) as seq", "cast(null as long) as offset")
+    return kept.join(places.withColumnRenamed("seq", "sequence_id"), "id").select(*_NAMES)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:

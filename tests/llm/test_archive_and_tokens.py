@@ -145,22 +145,64 @@ def test_packing(spark, ranges):
     assert n <= best_fit_decreasing([r["length"] for r in found], 2048) + 1
 
 
-def test_rounds_place_everything():
+def successors(sizes, is_gap):
+    """Each piece in order takes the smallest free gap before it that holds it, of equal ones the last."""
+    free, found = [], [-1] * len(sizes)
+    for i, gap in enumerate(is_gap):
+        if gap:
+            free.append(i)
+        elif free:
+            j = min(free, key=lambda g: (sizes[g], -g))
+            free.remove(j)
+            found[i], found[j] = j, i
+    return found
+
+
+def swept(r, n):
+    sizes = r.integers(1, 12, n)
+    is_gap = r.random(n) < 0.5
+    order = np.lexsort((~is_gap, -sizes))
+    return sizes[order], is_gap[order]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_sweep_finds_successors(seed):
+    sizes, is_gap = swept(np.random.default_rng(seed), 5 * seed)
+    assert packing.partners(is_gap).tolist() == successors(sizes.tolist(), is_gap.tolist())
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_ranges_meet_as_one(seed):
+    r = np.random.default_rng(seed)
+    sizes, is_gap = swept(r, 60)
+    whole = packing.partners(is_gap)
+    cuts = [0, *sorted(r.integers(0, 61, 5).tolist()), 60]
+    pairs, left, places = set(), [], {}
+    for at, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        own = packing.partners(is_gap[low:high])
+        pairs |= {(low + i, low + j) for i, j in enumerate(own.tolist()) if j >= 0 and not is_gap[low + i]}
+        rest = [low + i for i, j in enumerate(own.tolist()) if j < 0]
+        places[at] = [i for i in rest if not is_gap[i]], [i for i in rest if is_gap[i]][::-1]
+        left.append((at, *map(len, places[at])))
+    plan = packing.meet_ranges(left)
+    assert len(plan) <= 2 * len(left)
+    for at, first, other, gap, many in plan.tolist():
+        pairs |= {(places[at][0][first + k], places[other][1][gap + k]) for k in range(many)}
+    assert pairs == {(i, j) for i, j in enumerate(whole.tolist()) if j >= 0 and not is_gap[i]}
+
+
+@pytest.mark.parametrize("capacity, kind, ranges", [(2048, "mixed", 300), (100, "even", 250_000), (64, "thirds", 400), (10, "full", 300), (2048, "short", 250_000), (2048, "hot", 300)])
+def test_rounds_place_everything(spark, capacity, kind, ranges):
     r = np.random.default_rng(4)
-    for capacity, draw in ((2048, lambda n: np.minimum(2048, r.lognormal(6, 1, n).astype(int) + 1)), (100, lambda n: r.integers(1, 101, n)), (64, lambda n: np.full(n, 21)), (10, lambda n: np.full(n, 10))):
-        lengths = draw(5000)
-        counts = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True))))
-        plan, n = packing.match_rounds(counts, capacity)
-        used = Counter()
-        for length in counts:
-            own = plan[plan[:, 0] == length]
-            assert own[:, 1].tolist() == [0, *np.cumsum(own[:, 2])[:-1]] and own[:, 2].sum() == counts[length]
-        for length, _, many, first, _ in plan.tolist():
-            for s in range(first, first + many):
-                used[s] += length
-        assert max(used.values()) <= capacity and len(used) == n
-        assert n <= 1.02 * best_fit_decreasing(lengths.tolist(), capacity) + 1
-    assert packing.match_rounds({})[1] == 0
+    log = lambda mean, n: np.minimum(2048, r.lognormal(mean, 1, n).astype(int) + 1)
+    lengths = {
+        "mixed": lambda: log(6, 1500), "even": lambda: r.integers(1, 101, 1500), "thirds": lambda: np.full(500, 21), "full": lambda: np.full(500, 10),
+        "short": lambda: log(3, 1500), "hot": lambda: np.concatenate([np.full(700, 3), log(6, 700)]),
+    }[kind]()
+    pieces = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(lengths.tolist())], packing.PIECES)
+    found = packing.best_fit(pieces, capacity, rows_per_range=ranges).collect()
+    assert sorted((x["doc_id"], x["length"]) for x in found) == list(enumerate(lengths.tolist()))
+    assert check_packing(found, capacity) <= 1.02 * best_fit_decreasing(lengths.tolist(), capacity) + 1
 
 
 def test_packing_nothing(spark):
