@@ -351,7 +351,9 @@ def components(links: DataFrame) -> DataFrame:
     Every round gives a node the smallest label among its neighbours and then that label's own label, so paths shorten by half;
     labels are written to the shared folder each round, and the rounds end when none changes.
     """
-    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+    # both directions from one reading: a union of two would verify every pair twice
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = stored(links.select(F.explode(ways).alias("way")).select("way.*"), "links")
     labels = stored(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label"), F.lit(True).alias("changed")), "labels")
     while labels.filter("changed").limit(1).count():
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("low"))

@@ -247,6 +247,21 @@ def test_components_of_a_long_path(spark):
     assert found == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 103: 100}
 
 
+def test_links_are_made_once(spark, tmp_path):
+    """Links come out of verification, the dearest step: no row of theirs is computed a second time."""
+    log = str(tmp_path / "seen")
+
+    def noted(batches):
+        for batch in batches:
+            with open(log, "a") as f:
+                f.write("x" * batch.num_rows)
+            yield batch
+
+    links = spark.createDataFrame([(i, i + 1) for i in range(0, 20, 2)], "a long, b long").coalesce(1).mapInArrow(noted, "a long, b long")
+    assert {(r["node"], r["label"]) for r in probminhash.components(links).collect()} == {(i, i // 2 * 2) for i in range(20)}
+    assert len(open(log).read()) == 10
+
+
 def colliding_texts():
     """Two texts of 16 letters and signs with the same xxhash64: the second word is solved for."""
     full, one, two, four = (1 << 64) - 1, 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x85EBCA77C2B2AE63
