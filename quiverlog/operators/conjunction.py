@@ -95,7 +95,12 @@ def atom_frame(atom: Atom, names: dict[Var, str], view: View) -> DataFrame:
 
 
 def join_order(atoms: tuple[Atom, ...], first: int | None = None) -> list[int]:
-    """Constants first, then what shares variables with the atoms before: a cross product only where the program has one."""
+    """Constants first, then what shares variables with the atoms before: a cross product only where the program has one.
+
+    Of edges that share as much, one that is met by its subject comes before one that is met by its object only: a subject has few
+    objects of a predicate, but an object such as a nation or a status any number of subjects, and two such edges joined by it
+    make all pairs of these. A cycle of edges so becomes a walk along subjects whose last edge tests both its ends.
+    """
     left = list(range(len(atoms)))
     order: list[int] = []
     seen: set[Var] = set()
@@ -105,7 +110,8 @@ def join_order(atoms: tuple[Atom, ...], first: int | None = None) -> list[int]:
             atom = atoms[i]
             own = set(variables([atom]))
             constants = sum(isinstance(t, Lit) for t in atom.terms)
-            return (i != first if not order else bool(seen) and bool(own) and not own & seen, -len(own & seen), -constants, isinstance(atom, PredicateAtom), i)
+            by_object = isinstance(atom, EdgeAtom) and bool(own & seen) and atom.terms[0] not in seen
+            return (i != first if not order else bool(seen) and bool(own) and not own & seen, -len(own & seen), -constants, by_object, isinstance(atom, PredicateAtom), i)
 
         best = min(left, key=cost)
         order.append(best)

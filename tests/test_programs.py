@@ -3,6 +3,8 @@ import pytest
 from quiverlog import Engine, GraphStore
 from quiverlog.errors import DataError, DatatypeMismatchError, InvalidParameterError, PrivilegeError, ProgramLimitError, ProgramSyntaxError
 from quiverlog.operators import fixpoint
+from quiverlog.operators.conjunction import join_order
+from quiverlog.plans.parser import parse
 
 
 def rows(df):
@@ -79,6 +81,14 @@ def test_seed_from_a_derived_predicate(either):
     assert rows(either.query('S(x,y) :- Edge(x,"p",y). R(x,y) :- S(x,y). R(x,z) :- R(x,y), S(y,z). R(x,y)?')) == [("a", "b"), ("a", "c"), ("b", "c")]
 
 
+def test_a_cycle_is_not_joined_by_a_shared_object_first():
+    """Customers and suppliers of a nation make no pairs before it is known who buys from whom."""
+    query = parse('Edge(c, "in_nation", n), Edge(s, "in_nation", n), Edge(c, "buys_from", s)?').query
+    assert join_order(query) == [0, 2, 1]
+    assert join_order(parse('Edge(c, "in_nation", n), Edge(s, "in_nation", n), Edge(c, "pays", "x")?').query) == [2, 0, 1]
+    assert join_order(parse('Edge(a, "p", b), Edge(d, "p", b), Edge(b, "q", d)?').query) == [0, 2, 1]
+
+
 def test_round_limit(spark, monkeypatch):
     monkeypatch.setattr(fixpoint, "MOST_ROUNDS", 2)
     engine = Engine(GraphStore(spark))
