@@ -14,9 +14,13 @@ FEW_CHANGES = 100_000
 MOST_STACKED = 4
 
 
-def over(rows: DataFrame, layer: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` with those of ``layer`` in place of rows with equal keys; Spark broadcasts the layer's keys where they are few."""
-    return rows.join(layer.select(*keys), keys, "left_anti").select(*layer.columns).unionByName(layer)
+def over(rows: DataFrame, layer: DataFrame, keys: list[str], many: bool = False) -> DataFrame:
+    """``rows`` with those of ``layer`` in place of rows with equal keys; Spark broadcasts the layer's keys unless they are ``many``.
+
+    Spark guesses the size of a written table from its compressed files: of many like keys a small part of what a broadcast takes.
+    """
+    own = layer.select(*keys)
+    return rows.join(own.hint("merge") if many else own, keys, "left_anti").select(*layer.columns).unionByName(layer)
 
 
 class Layers:
@@ -32,18 +36,19 @@ class Layers:
         return copy.copy(self)
 
     def rows(self) -> DataFrame:
-        return self.base if self.changes is None else over(self.base, self.changes, self.keys)
+        return self.base if self.changes is None else over(self.base, self.changes, self.keys, self._many > FEW_CHANGES)
 
     def put(self, fresh: DataFrame) -> None:
         """Lay ``fresh`` over what is there: a written or local table with distinct keys."""
-        self._many += fresh.count()
-        changes = fresh if self.changes is None else over(self.changes, fresh, self.keys)
+        own = fresh.count()
+        self._many += own
+        changes = fresh if self.changes is None else over(self.changes, fresh, self.keys, own > FEW_CHANGES)
         self._stacked += self.changes is not None
         if self._many > FEW_CHANGES:
             if self._base_rows is None:
                 self._base_rows = self.base.count()
             if 10 * self._many > self._base_rows and self._base_rows:
-                self.base, self.changes = cut(over(self.base, changes, self.keys), self.tag), None
+                self.base, self.changes = cut(over(self.base, changes, self.keys, True), self.tag), None
                 self._base_rows, self._many, self._stacked = None, 0, 0
                 return
         if self._stacked >= MOST_STACKED:

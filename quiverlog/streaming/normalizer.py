@@ -106,11 +106,15 @@ class Normalizers:
         self._layers.put(moved.select(*ROW, "edges"))
         if inserts:
             self.store.insert(_edges(moved, new if insert_all else F.array_except(new, old)))
-        gone = _edges(moved, F.array_except(old, new))
-        kinds = [x.name for x in self.registrations.values() if x.kind == r.kind]
-        held = self.rows.filter(F.col("normalizer").isin(kinds)).select(F.explode("edges").alias("e")).select("e.*")
-        # the ledger streams past the edges that vanish: Spark broadcasts them while they are few
-        self.store.tombstone(gone.join(held.join(gone, KEYS, "left_semi"), KEYS, "left_anti"))
+        self._withdraw(_edges(moved, F.array_except(old, new)), [x.name for x in self.registrations.values() if x.kind == r.kind])
+
+    def _withdraw(self, gone: DataFrame, kinds: list[str]) -> None:
+        """Hide the edges that no ledger row of the normalizers ``kinds`` supports."""
+        if kinds:
+            held = self.rows.filter(F.col("normalizer").isin(kinds)).select(F.explode("edges").alias("e")).select("e.*")
+            # the ledger streams past the edges that vanish: Spark broadcasts them while they are few
+            gone = gone.join(held.join(gone, KEYS, "left_semi"), KEYS, "left_anti")
+        self.store.tombstone(gone)
 
     def apply_changes(self, source: str, old: DataFrame | None, new: DataFrame | None) -> None:
         """Rows before and after: inserts have no old rows, deletes no new ones. Rows are told apart by their keys."""
@@ -134,11 +138,12 @@ class Normalizers:
     def drop(self, source: str, name: str, purge: bool = True) -> None:
         """Forget a normalizer. Without ``purge`` its edges stay, owned by none."""
         r = self._known(source, name)
-        nothing = cut(self._own(r).select(*ROW, F.lit(None).cast(_EDGES).alias("edges")), "dropped")
+        # all its rows go, so their edges are what the ledger held before: no keys are gathered to look them up
+        own = self._own(r)
+        dropped = cut(own.select(*ROW), "dropped")
+        self._layers.put(dropped.select(*ROW, F.lit(None).cast(_EDGES).alias("edges")))
         if purge:
-            self._replace(r, nothing, False)
-        else:
-            self._layers.put(nothing)
+            self._withdraw(_edges(own, F.col("edges")), [x.name for x in self.registrations.values() if x.kind == r.kind and x is not r])
         del self.registrations[(source, name)]
 
     def _own(self, r: Registration) -> DataFrame:

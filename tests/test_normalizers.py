@@ -1,8 +1,11 @@
+import re
+
 import pytest
 
 from quiverlog import Engine, GraphStore
 from quiverlog.errors import EngineError, NormalizerError
-from quiverlog.sources import layers
+from quiverlog.sources import layers, shared
+from quiverlog.streaming import normalizer
 from quiverlog.streaming.normalizer import Normalizers
 
 #: Sightings of birds: a place, a kind of bird and a weather; place and kind make the compound.
@@ -61,6 +64,30 @@ def test_rebuild_brings_back_and_drop_takes_all(setup):
     assert rows(engine.query(QUERY)) == [] and normalizers.ledger.count() == 0 and not normalizers.registrations
 
 
+@pytest.mark.parametrize("purge", [True, False])
+def test_drop_writes_its_rows_once_and_looks_up_no_keys(setup, monkeypatch, purge):
+    engine, normalizers, table = setup
+    normalizers.create("sightings", table(*((k, f"field {k}", "lark", "sun") for k in range(9))), "seen", "Sighting", ROLES, ["no"])
+    written, real = [], normalizer.cut
+    monkeypatch.setattr(normalizer, "cut", lambda df, tag: written.append((tag, df)) or real(df, tag))
+    normalizers.drop("sightings", "seen", purge)
+    assert [tag for tag, _ in written] == ["dropped"] and "Join" not in written[0][1]._jdf.queryExecution().optimizedPlan().toString()
+    assert engine.query(QUERY).count() == (0 if purge else 9) and normalizers.ledger.count() == 0
+
+
+def test_keys_of_many_changes_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(layers, "FEW_CHANGES", 5)
+    table = lambda *ids: shared.cut(spark.createDataFrame([(i, v) for i, v in ids], "id long, v string"), "test")
+    kept = layers.Layers(table(*((i, "old") for i in range(200))), ["id"], "kept")
+    for ids in (range(4), range(2, 8), range(7, 9)):
+        kept.put(table(*((i, f"new {len(ids)}") for i in ids)))
+        assert rows(kept.rows().filter("v <> 'old'").select("id"))[-1] == (ids[-1],)
+        plan = kept.rows()._jdf.queryExecution().sparkPlan().toString()
+        # the outermost join is that of the base with the keys of all changes
+        assert re.search(r"\w+Join", plan)[0] == {4: "BroadcastHashJoin", 6: "SortMergeJoin", 2: "SortMergeJoin"}[len(ids)]
+    assert rows(kept.rows().filter("v <> 'old'")) == [(0, "new 4"), (1, "new 4"), *((i, "new 6") for i in range(2, 7)), (7, "new 2"), (8, "new 2")]
+
+
 def test_support_of_another_normalizer_and_unowned_edges(setup):
     engine, normalizers, table = setup
     for source in ("ringed", "heard"):
