@@ -138,12 +138,11 @@ class Normalizers:
     def drop(self, source: str, name: str, purge: bool = True) -> None:
         """Forget a normalizer. Without ``purge`` its edges stay, owned by none."""
         r = self._known(source, name)
-        # all its rows go, so their edges are what the ledger held before: no keys are gathered to look them up
-        own = self._own(r)
-        dropped = cut(own.select(*ROW), "dropped")
+        # all its rows go, so their edges are what the ledger holds: no keys are gathered to look them up
+        dropped = cut(self._own(r).select(*ROW, *(["edges"] if purge else [])), "dropped")
         self._layers.put(dropped.select(*ROW, F.lit(None).cast(_EDGES).alias("edges")))
         if purge:
-            self._withdraw(_edges(own, F.col("edges")), [x.name for x in self.registrations.values() if x.kind == r.kind and x is not r])
+            self._withdraw(_edges(dropped, F.col("edges")), [x.name for x in self.registrations.values() if x.kind == r.kind and x is not r])
         del self.registrations[(source, name)]
 
     def _own(self, r: Registration) -> DataFrame:
